@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from badgewright.functions.dayparts import badge_day_part
 from badgewright.functions.labels import age_band, date_of, month_label, postal_initial, quarter_label
 from badgewright.functions.regions import epoch_micros
-from badgewright.operators.joins import enrich, hot_keys
-from badgewright.sources.files import read_table
-from badgewright.sources.lookups import with_province
+from badgewright.operators.joins import count_before_join, enrich
+from badgewright.sources.lookups import province_name
 
 # Regions of the mobile events, by nation.
 REGIONS = [
@@ -38,6 +38,10 @@ REGIONS = [
 INTRADAY_FROM = "2024-01-25"
 
 
+# Schemas of files seen before, so that each is inferred once per process.
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 class Tables:
     """Programme tables derived from the parquet tables of one directory."""
 
@@ -46,7 +50,10 @@ class Tables:
         self.root = root
 
     def raw(self, name: str) -> DataFrame:
-        return read_table(self.spark, self.root, name)
+        path = f"{self.root}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     def customer(self) -> DataFrame:
         return self.raw("customer").selectExpr(
@@ -147,21 +154,22 @@ class Tables:
 
     def badge_facts(self) -> DataFrame:
         """The events counted per customer, label, day and day part, with labelled dimensions."""
-        events = self.raw("events").withColumnRenamed("user_id", "customer_id")
-        counted = events.groupBy(
-            "customer_id",
+        events = self.raw("events").select(
+            F.col("user_id").alias("customer_id"),
             F.col("event_type").alias("label"),
             date_of("ts").alias("date"),
             badge_day_part(F.hour("ts")).alias("hour"),
-        ).agg(F.count(F.lit(1)).alias("count"))
+        )
+        initial = postal_initial("postal_code")
         people = self.customer().select(
             F.col("_uid").alias("customer_id"),
             "user_selected_level",
             "gender",
             age_band("age").alias("age"),
-            postal_initial("postal_code").alias("province_postcode"),
+            initial.alias("province_postcode"),
+            province_name(initial).alias("province"),
         )
-        fact = enrich(counted, with_province(people), "customer_id", hot=hot_keys(events, "customer_id"))
+        fact = enrich(count_before_join(events, people), people, "customer_id", count_from=events)
         return fact.withColumns({"quarter": quarter_label("date"), "month": month_label("date")})
 
     def order_events(self) -> DataFrame:

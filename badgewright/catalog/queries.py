@@ -12,7 +12,7 @@ from badgewright.functions import dayparts, labels, numbers, regions
 from badgewright.operators import aggregates, display, filters, periods
 from badgewright.plans import cubes, kpis, reports
 from badgewright.sources import files
-from badgewright.sources.lookups import with_postal_district
+from badgewright.sources.lookups import postal_district
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -261,7 +261,7 @@ def left_on_theta(t: Tables) -> DataFrame:
 
 @query
 def rewards_province(t: Tables) -> DataFrame:
-    return with_postal_district(t.customer()).select(F.col("_uid").alias("customer_id"), "province")
+    return t.customer().select(F.col("_uid").alias("customer_id"), postal_district("postal_code").alias("province"))
 
 
 @query

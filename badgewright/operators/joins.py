@@ -64,13 +64,13 @@ def enrich(
     key: str,
     how: str = "inner",
     spread: Sequence[str | Column] | None = None,
-    hot: DataFrame | None = None,
+    count_from: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``fact`` with ``dimension`` on ``key`` ("inner" or "left").
 
     ``spread`` names the fact columns whose hash picks the salt; they should tell
-    the rows of one key apart (default: all other columns). ``hot`` is the result
-    of ``hot_keys`` if a cheaper input than ``fact`` itself gives it.
+    the rows of one key apart (default: all other columns). ``count_from`` are rows
+    to count the keys in, where they are cheaper to read than ``fact``.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"enrich joins inner or left, not {how}")
@@ -79,8 +79,9 @@ def enrich(
 
     spread = spread or [c for c in fact.columns if c != key]
     if not spread:
-        raise ValueError("no column tells the rows of one key apart")
-    hot = hot_keys(fact, key) if hot is None else hot
+        # Keys alone cannot be told apart: adaptive execution splits what is skewed.
+        return fact.join(dimension, key, how)
+    hot = hot_keys(fact if count_from is None else count_from, key)
     row_hash = F.xxhash64(*spread)
     salts = F.coalesce("_salts", F.lit(1))
     salt_of_row = F.when(F.col(key).isNull(), F.pmod(row_hash, F.lit(NULL_KEY_SALTS))).otherwise(
@@ -95,3 +96,14 @@ def enrich(
         .drop("_salts")
     )
     return salted_fact.join(salted_dimension, [key, "_salt"], how).drop("_salt")
+
+
+def count_before_join(rows: DataFrame, *dimensions: DataFrame) -> DataFrame:
+    """Rows with a ``count``, equal rows put together if a join is going to shuffle them.
+
+    Where every dimension is broadcast the rows are not shuffled before the
+    report's own aggregation, which then is the one that counts them.
+    """
+    if all(fits_broadcast(d) for d in dimensions):
+        return rows.withColumn("count", F.lit(1).cast("bigint"))
+    return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("count"))

@@ -26,8 +26,8 @@ from badgewright.functions.labels import (
     weekly_label,
 )
 from badgewright.functions.regions import date_of_micros, hour_of_micros, local_micros, os_name, region_name
-from badgewright.operators.joins import enrich, hot_keys
-from badgewright.sources.lookups import with_postal_district, with_province
+from badgewright.operators.joins import count_before_join, enrich
+from badgewright.sources.lookups import postal_district, with_province
 
 
 def translated(translation: DataFrame, language: str = "en") -> DataFrame:
@@ -85,12 +85,9 @@ def badge_cube(
     left out; ``keep_unreached`` keeps them.
     """
     top = milestone_top(customer_award, award, translation)
-    hot = hot_keys(customer_award, "customer_id")
-    people = enrich(
-        customer_labels(customer), top, "customer_id", "left" if keep_unreached else "inner"
-    )
+    people = enrich(customer_labels(customer), top, "customer_id", "left" if keep_unreached else "inner")
     counted = badges_per_day(customer_award, award, translation)
-    return with_calendar(enrich(counted, people, "customer_id", hot=hot))
+    return with_calendar(enrich(counted, people, "customer_id", count_from=customer_award))
 
 
 def badge_cube_with_answers(
@@ -105,7 +102,7 @@ def badge_cube_with_answers(
     counted = per_code.groupBy("customer_id", "label", "date", "hour").agg(F.sum("count").alias("count"))
     people = onboarding_answer(customer_labels(customer), answer).drop("user_selected_level")
     answers = people.groupBy(*people.columns).agg(F.count(F.lit(1)).alias("answers"))
-    cube = enrich(counted, answers, "customer_id", hot=hot_keys(customer_award, "customer_id"))
+    cube = enrich(counted, answers, "customer_id", count_from=customer_award)
     return with_calendar(cube.withColumn("count", F.col("count") * F.col("answers")).drop("answers"))
 
 
@@ -154,7 +151,7 @@ def milestone_top(customer_award: DataFrame, award: DataFrame, translation: Data
 
 
 def translated_except(
-    df: DataFrame, translation: DataFrame, language: str = "fr", hot: DataFrame | None = None
+    df: DataFrame, translation: DataFrame, language: str = "fr", count_from: DataFrame | None = None
 ) -> DataFrame:
     """Left join with the texts of all languages but one, by ``award_id``.
 
@@ -164,7 +161,7 @@ def translated_except(
     texts = translation.where(F.col("language_code") != language).select(
         F.col("master_id").alias("award_id"), "language_code", F.col("short_description").alias("label")
     )
-    return enrich(df, texts, "award_id", "left", hot=hot)
+    return enrich(df, texts, "award_id", "left", count_from=count_from)
 
 
 REWARD_AWARD = {"num_ballots"}
@@ -199,7 +196,7 @@ def reward_sides(
     cycles = cycles.drop("reward_cycle_id")
 
     awards = customer_award.select(F.col("_uid").alias("customer_award_id"), "customer_id", "award_id")
-    hot_awards = hot_keys(awards, "award_id")
+    award_ids = awards
     if wanted(REWARD_CUSTOMER):
         people = customer.select(
             F.col("_uid").alias("customer_id"),
@@ -208,12 +205,13 @@ def reward_sides(
             age_band("age").alias("age"),
             F.col("age").alias("age_years"),
             "postal_code",
+            postal_district("postal_code").alias("province"),
         )
-        awards = enrich(awards, with_postal_district(people), "customer_id", "left")
+        awards = enrich(awards, people, "customer_id", "left")
     if wanted(REWARD_AWARD):
         ballots = award.select(F.col("_uid").alias("award_id"), "num_ballots")
-        awards = enrich(awards, ballots, "award_id", "left", hot=hot_awards)
-    awards = translated_except(awards, translation, hot=hot_awards).drop("award_id", "language_code")
+        awards = enrich(awards, ballots, "award_id", "left", count_from=award_ids)
+    awards = translated_except(awards, translation, count_from=award_ids).drop("award_id", "language_code")
     return cycles, awards
 
 
@@ -230,8 +228,7 @@ def rewards_fact(
     cycles, awards = reward_sides(cycle_instance, cycle, customer_award, award, customer, translation)
     fact = ballot.select("_uid", "customer_award_id", "reward_cycle_instance_id", "created_at")
     fact = enrich(fact, cycles, "reward_cycle_instance_id", "left", spread=["_uid"])
-    hot = hot_keys(ballot, "customer_award_id")
-    fact = enrich(fact, awards, "customer_award_id", "left", spread=["_uid"], hot=hot)
+    fact = enrich(fact, awards, "customer_award_id", "left", spread=["_uid"], count_from=ballot)
     fact = fact.withColumns(
         {
             "date": date_of("created_at"),
@@ -259,15 +256,18 @@ def reward_cube(
     (the calendar labels come with the date).
     """
     cycles, awards = reward_sides(cycle_instance, cycle, customer_award, award, customer, translation, columns)
-    counted = ballot.groupBy(
-        "customer_award_id",
-        "reward_cycle_instance_id",
-        date_of("created_at").alias("date"),
-        reward_day_part(F.hour("created_at")).alias("hour"),
-    ).agg(F.count(F.lit(1)).alias("count"))
-    hot_cycles, hot_awards = (hot_keys(ballot, k) for k in ("reward_cycle_instance_id", "customer_award_id"))
-    fact = enrich(counted, cycles, "reward_cycle_instance_id", "left", hot=hot_cycles)
-    fact = enrich(fact, awards, "customer_award_id", "left", hot=hot_awards)
+    counted = count_before_join(
+        ballot.select(
+            "customer_award_id",
+            "reward_cycle_instance_id",
+            date_of("created_at").alias("date"),
+            reward_day_part(F.hour("created_at")).alias("hour"),
+        ),
+        cycles,
+        awards,
+    )
+    fact = enrich(counted, cycles, "reward_cycle_instance_id", "left", count_from=ballot)
+    fact = enrich(fact, awards, "customer_award_id", "left", count_from=ballot)
     fact = with_calendar(fact).withColumn("day", weekday_name("date"))
     return fact.drop("customer_award_id", "reward_cycle_instance_id")
 

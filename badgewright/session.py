@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Day and hour of a timestamp column are those of UTC.
     "spark.sql.session.timeZone": "UTC",
+    # Building a plan does not record the Python line of every column.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

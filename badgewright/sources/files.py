@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}.parquet")
-
-
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """CSV with a header. The schema is given, so Spark need not read the file twice."""
     return spark.read.schema(schema).csv(path, header=True, enforceSchema=False)
