@@ -294,7 +294,7 @@ ORACLE: dict[str, str] = {
     + f"SELECT {EVENT_ROW} FROM badge_events WHERE gender = 'BUILDING' AND user_selected_level = 3",
     "label_in": _with("badge_events")
     + f"SELECT {EVENT_ROW} FROM badge_events WHERE label IN ('purchase', 'error')",
-    "filter_choices": _with("badge_events", "prov")
+    "filter_choices": _with("badge_events", "prov", "top")
     + f""", dims AS (SELECT {AGE.format(a='age')} AS age, {MONTH.format(d='date')} AS month,
         {QUARTER.format(d='date')} AS quarter, gender, province, CAST(user_selected_level AS VARCHAR) AS lvl
         FROM badge_events LEFT JOIN prov ON province_postcode = upper(substring(postal_code, 1, 1)))
@@ -302,6 +302,7 @@ ORACLE: dict[str, str] = {
         SELECT 'age' AS dimension, age AS value FROM dims UNION ALL SELECT 'month', month FROM dims
         UNION ALL SELECT 'quarter', quarter FROM dims UNION ALL SELECT 'gender', gender FROM dims
         UNION ALL SELECT 'province', province FROM dims UNION ALL SELECT 'user_selected_level', lvl FROM dims
+        UNION ALL SELECT 'max_award_code', max_award_code FROM top
         UNION ALL SELECT 'hour', unnest(['Morning', 'Afternoon', 'Evening', 'Night'])) WHERE value IS NOT NULL""",
     "dim_labels": _with("badge_events")
     + f"""SELECT event_id, {CAPITAL.format(g='gender')} AS gender, {AGE.format(a='age')} AS age,

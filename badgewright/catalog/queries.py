@@ -84,7 +84,9 @@ def activity_levels(t: Tables) -> DataFrame:
 
 @query
 def activity_goals(t: Tables) -> DataFrame:
-    return reports.badge_summary(cubes.badge_cube(*t.badge_tables()), GOALS, GOALS_FIRST, GOALS_LAST)
+    # The report reads the cube twice, for the window and for the grand totals.
+    cube = cubes.badge_cube(*t.badge_tables()).select("customer_id", "label", "date", "count")
+    return reports.badge_summary(files.materialised(cube, "badge-cube"), GOALS, GOALS_FIRST, GOALS_LAST)
 
 
 @query
@@ -120,7 +122,8 @@ def label_in(t: Tables) -> DataFrame:
 
 @query
 def filter_choices(t: Tables) -> DataFrame:
-    return reports.filter_choices(t.badge_facts(), DIMENSIONS)
+    reached = cubes.milestone_top(t.customer_award(), t.award(), t.translation())
+    return reports.filter_choices((t.badge_facts(), DIMENSIONS), (reached, ["max_award_code"]))
 
 
 @query

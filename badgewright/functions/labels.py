@@ -59,7 +59,7 @@ def weekday_name(date: Column | str) -> Column:
 
 def weekly_label(text: Column | str) -> Column:
     """Shorten the weekly badge's name wherever it occurs in the text."""
-    return F.regexp_replace(col_of(text), WEEKLY_BADGE[0], WEEKLY_BADGE[1])
+    return F.replace(col_of(text), F.lit(WEEKLY_BADGE[0]), F.lit(WEEKLY_BADGE[1]))
 
 
 def is_milestone(text: Column | str) -> Column:

@@ -65,12 +65,15 @@ def enrich(
     how: str = "inner",
     spread: Sequence[str | Column] | None = None,
     count_from: DataFrame | None = None,
+    salts: int | None = None,
 ) -> DataFrame:
     """Join ``fact`` with ``dimension`` on ``key`` ("inner" or "left").
 
     ``spread`` names the fact columns whose hash picks the salt; they should tell
     the rows of one key apart (default: all other columns). ``count_from`` are rows
-    to count the keys in, where they are cheaper to read than ``fact``.
+    to count the keys in, where they are cheaper to read than ``fact``. ``salts``
+    spreads every key that many ways without counting, for a few keys that all
+    have many rows and a dimension that is small beside them.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"enrich joins inner or left, not {how}")
@@ -81,18 +84,26 @@ def enrich(
     if not spread:
         # Keys alone cannot be told apart: adaptive execution splits what is skewed.
         return fact.join(dimension, key, how)
-    hot = hot_keys(fact if count_from is None else count_from, key)
     row_hash = F.xxhash64(*spread)
-    salts = F.coalesce("_salts", F.lit(1))
+    if salts is not None:
+        every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+        return (
+            fact.withColumn("_salt", F.pmod(row_hash, F.lit(salts)).cast("int"))
+            .join(dimension.withColumn("_salt", every_salt), [key, "_salt"], how)
+            .drop("_salt")
+        )
+
+    hot = hot_keys(fact if count_from is None else count_from, key)
+    salts_of_key = F.coalesce("_salts", F.lit(1))
     salt_of_row = F.when(F.col(key).isNull(), F.pmod(row_hash, F.lit(NULL_KEY_SALTS))).otherwise(
-        F.pmod(row_hash, salts)
+        F.pmod(row_hash, salts_of_key)
     )
     salted_fact = (
         fact.join(F.broadcast(hot), key, "left").withColumn("_salt", salt_of_row.cast("int")).drop("_salts")
     )
     salted_dimension = (
         dimension.join(F.broadcast(hot), key, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts_of_key - 1)))
         .drop("_salts")
     )
     return salted_fact.join(salted_dimension, [key, "_salt"], how).drop("_salt")

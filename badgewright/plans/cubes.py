@@ -30,6 +30,10 @@ from badgewright.operators.joins import count_before_join, enrich
 from badgewright.sources.lookups import postal_district, with_province
 
 
+# Customers per value of minutes are spread this many ways: the values are few, the customers many.
+MINUTE_SALTS = 128
+
+
 def translated(translation: DataFrame, language: str = "en") -> DataFrame:
     """Badge texts of one language: (award_id, label)."""
     return translation.where(F.col("language_code") == language).select(
@@ -40,7 +44,7 @@ def translated(translation: DataFrame, language: str = "en") -> DataFrame:
 def badges(award: DataFrame, translation: DataFrame) -> DataFrame:
     """Award code and English text of every award: (award_id, award_code, label)."""
     codes = award.select(F.col("_uid").alias("award_id"), "award_code")
-    return enrich(codes, translated(translation), "award_id")
+    return codes.join(translated(translation), "award_id")
 
 
 def customer_labels(customer: DataFrame) -> DataFrame:
@@ -85,9 +89,9 @@ def badge_cube(
     left out; ``keep_unreached`` keeps them.
     """
     top = milestone_top(customer_award, award, translation)
-    people = enrich(customer_labels(customer), top, "customer_id", "left" if keep_unreached else "inner")
-    counted = badges_per_day(customer_award, award, translation)
-    return with_calendar(enrich(counted, people, "customer_id", count_from=customer_award))
+    people = customer_labels(customer).join(top, "customer_id", "left" if keep_unreached else "inner")
+    counted = with_calendar(badges_per_day(customer_award, award, translation))
+    return enrich(counted, people, "customer_id", count_from=customer_award)
 
 
 def badge_cube_with_answers(
@@ -100,18 +104,24 @@ def badge_cube_with_answers(
     """The older cube: without award codes, with the customer's onboarding answer."""
     per_code = badges_per_day(customer_award, award, translation)
     counted = per_code.groupBy("customer_id", "label", "date", "hour").agg(F.sum("count").alias("count"))
-    people = onboarding_answer(customer_labels(customer), answer).drop("user_selected_level")
-    answers = people.groupBy(*people.columns).agg(F.count(F.lit(1)).alias("answers"))
-    cube = enrich(counted, answers, "customer_id", count_from=customer_award)
-    return with_calendar(cube.withColumn("count", F.col("count") * F.col("answers")).drop("answers"))
+    given = given_answers(answer)
+    answers = given.groupBy(*given.columns).agg(F.count(F.lit(1)).alias("times"))
+    people = customer_labels(customer).drop("user_selected_level").join(answers, "clearbridge_appuser_id", "left")
+    cube = enrich(counted, people, "customer_id", count_from=customer_award)
+    times = F.coalesce("times", F.lit(1))
+    return with_calendar(cube.withColumn("count", F.col("count") * times).drop("times"))
 
 
-def onboarding_answer(customer: DataFrame, answer: DataFrame) -> DataFrame:
-    """Customers with their answer to the onboarding question, NULL if they gave none."""
-    given = answer.where((F.col("type") == "onboarding") & (F.col("questionKey") == "activityLevel")).select(
+def given_answers(answer: DataFrame) -> DataFrame:
+    """Answers to the onboarding question: (clearbridge_appuser_id, answer)."""
+    return answer.where((F.col("type") == "onboarding") & (F.col("questionKey") == "activityLevel")).select(
         F.col("userId").alias("clearbridge_appuser_id"), F.col("answerValue").alias("answer")
     )
-    return enrich(customer, given, "clearbridge_appuser_id", "left")
+
+
+def onboarding_answer(customer: DataFrame, answer: DataFrame) -> DataFrame:
+    """Customers with their answer to the onboarding question, NULL if they gave none."""
+    return enrich(customer, given_answers(answer), "clearbridge_appuser_id", "left")
 
 
 def with_badge_province(cube: DataFrame) -> DataFrame:
@@ -131,7 +141,7 @@ def milestones(translation: DataFrame) -> DataFrame:
 def milestone_codes(award: DataFrame, translation: DataFrame) -> DataFrame:
     """Every award code with the minutes it stands for."""
     codes = award.select(F.col("_uid").alias("award_id"), "award_code")
-    return enrich(codes, milestones(translation), "award_id").select("award_code", "minutes").distinct()
+    return codes.join(milestones(translation), "award_id").select("award_code", "minutes").distinct()
 
 
 def milestone_top(customer_award: DataFrame, award: DataFrame, translation: DataFrame) -> DataFrame:
@@ -147,7 +157,7 @@ def milestone_top(customer_award: DataFrame, award: DataFrame, translation: Data
         .agg(F.max("minutes").alias("minutes"))
     )
     codes = milestone_codes(award, translation).withColumnRenamed("award_code", "max_award_code")
-    return enrich(best, codes, "minutes").select("customer_id", "max_award_code")
+    return enrich(best, codes, "minutes", salts=MINUTE_SALTS).select("customer_id", "max_award_code")
 
 
 def translated_except(

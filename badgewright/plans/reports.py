@@ -176,13 +176,20 @@ def rewards_pivot(
     return pivot_sum(chosen, "label", "cycle_type", cycles, "count").orderBy("label")
 
 
-def filter_choices(fact: DataFrame, dimensions: Sequence[str]) -> DataFrame:
-    """The values to choose from, per dimension and sorted; day parts are a fixed list."""
-    pairs = ", ".join(f"'{d}', cast({d} as string)" for d in dimensions)
-    found = (
-        fact.select(F.expr(f"stack({len(dimensions)}, {pairs}) as (dimension, value)"))
-        .where(F.col("value").isNotNull())
-        .distinct()
-    )
-    day_parts = literal_rows(fact.sparkSession, [("hour", p) for p in DAY_PARTS], ["dimension", "value"])
-    return found.unionByName(day_parts).orderBy("dimension", "value")
+def dimension_values(df: DataFrame, dimensions: Sequence[str]) -> DataFrame:
+    """The distinct values of several columns, as (dimension, value)."""
+    pairs = ", ".join(f"'{d}', cast(`{d}` as string)" for d in dimensions)
+    tall = df.select(F.expr(f"stack({len(dimensions)}, {pairs}) as (dimension, value)"))
+    return tall.where(F.col("value").isNotNull()).distinct()
+
+
+def filter_choices(*sources: tuple[DataFrame, Sequence[str]]) -> DataFrame:
+    """The values to choose from, per dimension and sorted.
+
+    Each source is a relation and the dimensions it gives. Day parts are a fixed list.
+    """
+    spark = sources[0][0].sparkSession
+    choices = literal_rows(spark, [("hour", part) for part in DAY_PARTS], ["dimension", "value"])
+    for df, dimensions in sources:
+        choices = choices.unionByName(dimension_values(df, dimensions))
+    return choices.orderBy("dimension", "value")

@@ -61,3 +61,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     root = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="badgewright-")
     return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """Write an expensive result once and go on from the written table."""
+    path = scratch_path(df.sparkSession, name)
+    write_snapshot(df, path)
+    return read_snapshot(df.sparkSession, path, df.schema)

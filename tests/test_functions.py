@@ -1,0 +1,135 @@
+import datetime as dt
+
+import pytest
+from helpers import column, tuples
+from pyspark.sql import functions as F
+
+from badgewright.functions import dayparts, labels, numbers, regions
+from badgewright.sources.lookups import postal_district, province_name
+
+
+def test_age_bands_at_every_edge(spark):
+    ages = [4, 5, 17, 18, 24, 25, 34, 35, 44, 45, 54, 55, 64, 65, None]
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(ages)], "i int, age int").orderBy("i")
+    assert column(df.select(labels.age_band("age").alias("x")), "x") == [
+        "0-4", "5-17", "5-17", "18-24", "18-24", "25-34", "25-34", "35-44", "35-44",
+        "45-54", "45-54", "55-64", "55-64", "65+", "65+",
+    ]
+
+
+HOURS = [0, 5, 6, 11, 12, 16, 17, 18, 21, 22, 23, None]
+N, M, A, E = "Night", "Morning", "Afternoon", "Evening"
+
+
+@pytest.mark.parametrize(
+    ("rule", "expected"),
+    [
+        (dayparts.badge_day_part, [N, N, M, M, A, A, A, E, E, E, E, N]),
+        (dayparts.reward_day_part, [N, N, M, M, A, A, E, E, E, N, N, None]),
+        (dayparts.app_day_part, [M, M, A, A, E, E, E, E, E, E, E, E]),
+        (lambda h: dayparts.app_day_part(h, corrected=True), [N, N, M, M, A, A, A, E, E, E, E, E]),
+    ],
+)
+def test_day_part_rules(spark, rule, expected):
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(HOURS)], "i int, h int").orderBy("i")
+    assert column(df.select(rule("h").alias("x")), "x") == expected
+
+
+def test_text_labels(spark):
+    df = spark.createDataFrame(
+        [("mALE", "old big RING", "m5v 1a1"), ("x", "a", ""), (None, None, None)], "g string, t string, p string"
+    )
+    got = tuples(df.select(labels.capitalised("g"), labels.title_case("t"), labels.postal_initial("p")))
+    assert got == [("Male", "Old Big Ring", "M"), ("X", "A", ""), (None, None, None)]
+
+
+def test_capitalised_touches_one_word_only(spark):
+    assert column(spark.sql("SELECT 'prefer NOT to say' AS g").select(labels.capitalised("g").alias("x")), "x") == [
+        "Prefer not to say"
+    ]
+
+
+def test_calendar_labels(spark):
+    df = spark.sql("SELECT DATE'2019-01-06' AS d, '01/06/2019' AS t, 'nonsense' AS bad")
+    got = df.select(
+        labels.quarter_label("d"),
+        labels.month_label("d"),
+        labels.weekday_name("d"),
+        labels.date_of_text("t"),
+        labels.date_of_text("bad"),
+    )
+    assert tuples(got) == [("Q1 2019", "Jan 2019", "Sunday", dt.date(2019, 1, 6), None)]
+
+
+def test_leading_minutes(spark):
+    texts = ["50 Minutes Milestone", "150 Minute Milestone", "Opened App", "Weekly", "50", "", None, "30x done"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
+    assert column(df.select(labels.leading_minutes("t").alias("m")), "m") == [50, 150, 0, 0, 0, 0, None, 30]
+
+
+def test_weekly_label_replaces_inside_the_text(spark):
+    df = spark.sql("SELECT explode(array('Weekly Challenge Complete', 'Weekly Challenge Completed', 'Other')) AS t")
+    assert column(df.select(labels.weekly_label("t").alias("x")), "x") == ["Weekly", "Weeklyd", "Other"]
+
+
+def test_milestone_test_ignores_case(spark):
+    df = spark.sql("SELECT explode(array('50 MINUTES milestone', 'Opened App')) AS t")
+    assert column(df.select(labels.is_milestone("t").alias("x")), "x") == [True, False]
+
+
+def test_percent_difference(spark):
+    rows = [(1.0, 0.0), (None, 1.0), (float("nan"), 1.0), (float("inf"), 1.0), (1.0, float("inf")), (3.0, 2.0)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, x double, y double").orderBy("i")
+    assert column(df.select(numbers.percent_diff_text("x", "y").alias("t")), "t") == ["--"] * 5 + ["50.00%"]
+    assert column(df.select(numbers.percent_diff("x", "y").alias("t")), "t") == [None] * 5 + [50.0]
+
+
+def test_safe_round_and_texts(spark):
+    df = spark.sql("SELECT explode(array('--', NULL, 'NaN', 'Infinity', '2.456')) AS x")
+    assert column(df.select(numbers.safe_round("x", 1).alias("v")), "v") == [0.0, 0.0, 0.0, 0.0, 2.5]
+    one = spark.sql("SELECT 12.3D AS p, 1234567 AS n")
+    assert tuples(one.select(numbers.percent_text("p"), numbers.thousands("n"), numbers.fixed_text("p"))) == [
+        ("12.30%", "1,234,567", "12.30")
+    ]
+
+
+def test_provinces_by_postal_initial(spark):
+    df = spark.sql("SELECT explode(array('m5v', 'D1A', NULL, '')) AS p")
+    names = tuples(df.select(province_name(labels.postal_initial("p")), postal_district("p")))
+    assert names == [("Ontario", "Metropolitan Toronto"), (None, None), (None, None), (None, None)]
+
+
+# Instants in UTC, on both sides of a change of clocks, before 1970 too.
+LOCAL_TIMES = [
+    ("2024-01-15T03:30:00", "Ontario", dt.date(2024, 1, 14), 22),
+    ("2024-07-15T03:30:00", "Ontario", dt.date(2024, 7, 14), 23),
+    ("2024-01-15T03:30:00", "Manitoba", dt.date(2024, 1, 14), 21),
+    ("2024-01-15T03:30:00", "Alberta", dt.date(2024, 1, 14), 20),
+    ("2024-01-15T03:30:00", "Yukon Territory", dt.date(2024, 1, 14), 19),
+    ("2024-01-15T03:30:00", "Nova Scotia", dt.date(2024, 1, 14), 23),
+    ("2024-01-15T03:30:00", None, dt.date(2024, 1, 14), 23),
+    ("1969-12-31T23:30:00", "Ontario", dt.date(1969, 12, 31), 18),
+]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Tokyo", "America/Toronto"])
+def test_local_time_by_region_in_any_session_zone(spark, settings, zone):
+    settings(spark__sql__session__timeZone=zone)
+    rows = [(i, dt.datetime.fromisoformat(t), r) for i, (t, r, _, _) in enumerate(LOCAL_TIMES)]
+    df = spark.createDataFrame(rows, "i int, ts timestamp_ntz, region string")
+    local = df.withColumn("l", regions.local_micros(regions.epoch_micros("ts"), "region")).orderBy("i")
+    got = tuples(local.select(regions.date_of_micros("l"), regions.hour_of_micros("l")))
+    assert got == [(d, h) for _, _, d, h in LOCAL_TIMES]
+
+
+def test_region_and_system_names(spark):
+    df = spark.sql("SELECT explode(array('Quebec', 'Nunavut', 'Ontario', NULL)) AS r")
+    assert column(df.select(regions.region_name("r").alias("x")), "x") == [
+        "Québec", "NW Territories & Nunavut", "Ontario", None,
+    ]
+    systems = spark.sql("SELECT explode(array('ANDROID', 'IOS', NULL)) AS s")
+    assert column(systems.select(regions.os_name("s").alias("x")), "x") == ["Android", "iOS", "iOS"]
+
+
+def test_concat_with_null_stays_null(spark):
+    assert tuples(spark.range(1).select(labels.quarter_label(F.lit(None).cast("date")))) == [(None,)]
