@@ -109,6 +109,21 @@ def enrich(
     return salted_fact.join(salted_dimension, [key, "_salt"], how).drop("_salt")
 
 
+def join_many(one: DataFrame, many: DataFrame, key: str) -> DataFrame:
+    """Left join of a table of unique keys with one that may have most of its rows in one key.
+
+    A left join cannot split its right side, so the matches are found from the
+    side that has many rows, and the rows without a match are added.
+    """
+    if fits_broadcast(many):
+        return one.join(F.broadcast(many), key, "left")
+    matched = enrich(many, one, key)
+    missing = one.join(many.select(key).distinct(), key, "left_anti")
+    return matched.unionByName(missing, allowMissingColumns=True).select(
+        key, *[c for c in (*one.columns, *many.columns) if c != key]
+    )
+
+
 def count_before_join(rows: DataFrame, *dimensions: DataFrame) -> DataFrame:
     """Rows with a ``count``, equal rows put together if a join is going to shuffle them.
 

@@ -26,7 +26,7 @@ from badgewright.functions.labels import (
     weekly_label,
 )
 from badgewright.functions.regions import date_of_micros, hour_of_micros, local_micros, os_name, region_name
-from badgewright.operators.joins import count_before_join, enrich
+from badgewright.operators.joins import count_before_join, enrich, join_many
 from badgewright.sources.lookups import postal_district, with_province
 
 
@@ -121,7 +121,7 @@ def given_answers(answer: DataFrame) -> DataFrame:
 
 def onboarding_answer(customer: DataFrame, answer: DataFrame) -> DataFrame:
     """Customers with their answer to the onboarding question, NULL if they gave none."""
-    return enrich(customer, given_answers(answer), "clearbridge_appuser_id", "left")
+    return join_many(customer, given_answers(answer), "clearbridge_appuser_id")
 
 
 def with_badge_province(cube: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from helpers import plan, tuples
 from pyspark.sql import functions as F
 
-from badgewright.operators.joins import count_before_join, enrich, fits_broadcast, hot_keys
+from badgewright.operators.joins import count_before_join, enrich, fits_broadcast, hot_keys, join_many
 
 
 @pytest.fixture
@@ -32,6 +32,17 @@ def test_salted_join_equals_plain_join(spark, no_broadcast, fact, dimension, how
     assert Counter(tuples(enrich(fact, dimension, "key", how, salts=7))) == plain
 
 
+def test_left_join_with_many_rows_in_one_key(spark, settings, fact):
+    one = spark.createDataFrame([(1, "a"), (3, "b"), (-5, "c"), (None, "d")], "key bigint, name string")
+    many = fact.where("key is null or key < 50")
+    plain = Counter(tuples(one.join(many, "key", "left")))
+    assert Counter(tuples(join_many(one, many, "key"))) == plain
+    settings(spark__sql__autoBroadcastJoinThreshold="-1", spark__badgewright__hotKey__rowsPerTask="20")
+    salted = join_many(one, many, "key")
+    assert salted.columns == ["key", "name", "id"] and "_salt" in plan(salted)
+    assert Counter(tuples(salted)) == plain
+
+
 def test_hot_key_is_spread_over_partitions(spark, no_broadcast, settings, fact, dimension):
     settings(spark__sql__adaptive__enabled="false")
     joined = enrich(fact, dimension, "key", "left").where("key = 1")
