@@ -58,7 +58,7 @@ class Tables:
     def customer(self) -> DataFrame:
         return self.raw("customer").selectExpr(
             "c_custkey AS _uid",
-            "c_custkey AS clearbridge_appuser_id",
+            "c_custkey AS appuser_id",
             "c_nationkey % 5 AS user_selected_level",
             "c_mktsegment AS gender",
             "CAST(nullif((c_custkey * 7) % 90, 0) AS INT) AS age",

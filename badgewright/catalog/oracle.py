@@ -44,7 +44,8 @@ RELATIONS = {
       FROM events JOIN cust ON uid = user_id""",
     "win": f"SELECT * FROM badge_events WHERE date BETWEEN DATE '{q.FIRST}' AND DATE '{q.LAST}'",
     "chosen": f"SELECT * FROM win WHERE label IN ({_list(q.LABELS)})",
-    "tot": "SELECT CAST(sum(cnt) AS BIGINT) AS total_awards, count(DISTINCT customer_id) AS unique_users FROM badge_events",
+    "tot": """SELECT CAST(sum(cnt) AS BIGINT) AS total_awards, count(DISTINCT customer_id) AS unique_users
+      FROM badge_events""",
     "summary": f"""SELECT CAST(list_position([{_list(q.LABELS)}], label) AS BIGINT) AS ord, label,
       CAST(sum(cnt) AS BIGINT) AS total, count(DISTINCT customer_id) AS unique_users FROM chosen GROUP BY label""",
     "histo": """WITH per AS (SELECT customer_id, count(*) AS badges FROM win GROUP BY 1),
@@ -71,7 +72,7 @@ RELATIONS = {
     "top": """SELECT customer_id, award_code AS max_award_code FROM
       (SELECT customer_id, max(minutes) AS minutes FROM cust_award JOIN miles ON master_id = award_id GROUP BY 1) best
       JOIN codes ON codes.minutes = best.minutes""",
-    "cube": f"""SELECT ca.customer_id, ca.customer_id AS clearbridge_appuser_id, award_code, max_award_code, label,
+    "cube": f"""SELECT ca.customer_id, ca.customer_id AS appuser_id, award_code, max_award_code, label,
         {CAPITAL.format(g='gender')} AS gender, {AGE.format(a='age')} AS age, user_selected_level,
         {QUARTER.format(d='created_at')} AS quarter, {MONTH.format(d='created_at')} AS month,
         CAST(created_at AS DATE) AS date, {BADGE_PART.format(h='hour(created_at)')} AS hour,
@@ -164,8 +165,8 @@ def _percent(x: str) -> str:
 
 
 def _summary_of(rows: str, labels: list[str], totals: str) -> str:
-    return f"""SELECT CAST(list_position([{_list(labels)}], s.label) AS BIGINT) AS ord, s.label, s.total, s.unique_users,
-      {_shares('s.total', 's.unique_users')}
+    return f"""SELECT CAST(list_position([{_list(labels)}], s.label) AS BIGINT) AS ord,
+      s.label, s.total, s.unique_users, {_shares('s.total', 's.unique_users')}
       FROM (SELECT label, CAST(sum(cnt) AS BIGINT) AS total, count(DISTINCT customer_id) AS unique_users
             FROM {rows} GROUP BY label) s, {totals} tot"""
 
@@ -255,7 +256,8 @@ ORACLE: dict[str, str] = {
       FROM ({_summary_of('chosen', q.LABELS, 'tot')})""",
     "badge_subtotal": _with("chosen", "tot")
     + f"""SELECT 'Total' AS label, s.total, s.unique_users, {_shares('s.total', 's.unique_users')}
-      FROM (SELECT CAST(sum(cnt) AS BIGINT) AS total, count(DISTINCT customer_id) AS unique_users FROM chosen) s, tot""",
+      FROM (SELECT CAST(sum(cnt) AS BIGINT) AS total, count(DISTINCT customer_id) AS unique_users
+            FROM chosen) s, tot""",
     "badge_rollup": _with("chosen")
     + """SELECT label, CAST(sum(cnt) AS BIGINT) AS total, count(DISTINCT customer_id) AS unique_users
       FROM chosen GROUP BY label UNION ALL
@@ -352,7 +354,7 @@ ORACLE: dict[str, str] = {
       CAST(sum(count) AS BIGINT) AS count
       FROM cube LEFT JOIN prov ON prov.province_postcode = cube.province_postcode GROUP BY ALL""",
     "badge_cube_answers": _with("cust_award", "award", "trans", "cust", "qa")
-    + f"""SELECT ca.customer_id, ca.customer_id AS clearbridge_appuser_id, label,
+    + f"""SELECT ca.customer_id, ca.customer_id AS appuser_id, label,
         {CAPITAL.format(g='gender')} AS gender, {AGE.format(a='age')} AS age, answer,
         {QUARTER.format(d='created_at')} AS quarter, {MONTH.format(d='created_at')} AS month,
         CAST(created_at AS DATE) AS date, {BADGE_PART.format(h='hour(created_at)')} AS hour,

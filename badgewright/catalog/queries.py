@@ -85,7 +85,8 @@ def activity_levels(t: Tables) -> DataFrame:
 @query
 def activity_goals(t: Tables) -> DataFrame:
     # The report reads the cube twice, for the window and for the grand totals.
-    cube = cubes.badge_cube(*t.badge_tables()).groupBy("customer_id", "label", "date").agg(F.sum("count").alias("count"))
+    cube = cubes.badge_cube(*t.badge_tables())
+    cube = cube.groupBy("customer_id", "label", "date").agg(F.sum("count").alias("count"))
     return reports.badge_summary(files.materialised(cube, "badge-cube"), GOALS, GOALS_FIRST, GOALS_LAST)
 
 

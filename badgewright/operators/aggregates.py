@@ -101,7 +101,9 @@ def running_shares(df: DataFrame, key: str, n: str = "n") -> DataFrame:
     return df.withColumns({"share": percent_of(n, whole), "cum_share": percent_of(running, whole)})
 
 
-def pivot_sum(df: DataFrame, row: str, column: str, values: Sequence[str], n: str = "n", absent: str = "<NA>") -> DataFrame:
+def pivot_sum(
+    df: DataFrame, row: str, column: str, values: Sequence[str], n: str = "n", absent: str = "<NA>"
+) -> DataFrame:
     """One row per ``row``, one column per value; pairs that do not occur stay NULL.
 
     The values are given, so the schema is fixed and no job runs to find them.

@@ -51,7 +51,7 @@ def customer_labels(customer: DataFrame) -> DataFrame:
     """The dimensions of a customer, labelled once per customer instead of once per badge."""
     return customer.select(
         F.col("_uid").alias("customer_id"),
-        "clearbridge_appuser_id",
+        "appuser_id",
         "user_selected_level",
         capitalised("gender").alias("gender"),
         age_band("age").alias("age"),
@@ -106,22 +106,22 @@ def badge_cube_with_answers(
     counted = per_code.groupBy("customer_id", "label", "date", "hour").agg(F.sum("count").alias("count"))
     given = given_answers(answer)
     answers = given.groupBy(*given.columns).agg(F.count(F.lit(1)).alias("times"))
-    people = customer_labels(customer).drop("user_selected_level").join(answers, "clearbridge_appuser_id", "left")
+    people = customer_labels(customer).drop("user_selected_level").join(answers, "appuser_id", "left")
     cube = enrich(counted, people, "customer_id", count_from=customer_award)
     times = F.coalesce("times", F.lit(1))
     return with_calendar(cube.withColumn("count", F.col("count") * times).drop("times"))
 
 
 def given_answers(answer: DataFrame) -> DataFrame:
-    """Answers to the onboarding question: (clearbridge_appuser_id, answer)."""
+    """Answers to the onboarding question: (appuser_id, answer)."""
     return answer.where((F.col("type") == "onboarding") & (F.col("questionKey") == "activityLevel")).select(
-        F.col("userId").alias("clearbridge_appuser_id"), F.col("answerValue").alias("answer")
+        F.col("userId").alias("appuser_id"), F.col("answerValue").alias("answer")
     )
 
 
 def onboarding_answer(customer: DataFrame, answer: DataFrame) -> DataFrame:
     """Customers with their answer to the onboarding question, NULL if they gave none."""
-    return join_many(customer, given_answers(answer), "clearbridge_appuser_id")
+    return join_many(customer, given_answers(answer), "appuser_id")
 
 
 def with_badge_province(cube: DataFrame) -> DataFrame:

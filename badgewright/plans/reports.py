@@ -177,9 +177,13 @@ def rewards_pivot(
 
 
 def dimension_values(df: DataFrame, dimensions: Sequence[str]) -> DataFrame:
-    """The distinct values of several columns, as (dimension, value)."""
+    """The distinct values of several columns, as (dimension, value).
+
+    Only the distinct combinations are made tall, not every row of the fact.
+    """
     pairs = ", ".join(f"'{d}', cast(`{d}` as string)" for d in dimensions)
-    tall = df.select(F.expr(f"stack({len(dimensions)}, {pairs}) as (dimension, value)"))
+    combinations = df.select(*dimensions).distinct()
+    tall = combinations.select(F.expr(f"stack({len(dimensions)}, {pairs}) as (dimension, value)"))
     return tall.where(F.col("value").isNotNull()).distinct()
 
 

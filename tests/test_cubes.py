@@ -32,7 +32,7 @@ def tables(spark):
     )
     customer = spark.createDataFrame(
         [(10, 110, 3, "m5v", "fEMALE", 30), (11, 111, 4, "D1A", "MALE", None), (12, 112, 0, None, None, 4)],
-        "_uid long, clearbridge_appuser_id long, user_selected_level int, postal_code string, gender string, age int",
+        "_uid long, appuser_id long, user_selected_level int, postal_code string, gender string, age int",
     )
     rows = [
         (10, 1, T(2019, 2, 28, 7)),

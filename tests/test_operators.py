@@ -99,7 +99,8 @@ def test_pivot_keeps_absent_pairs_null_and_names_the_null_column(spark):
 
 
 def test_measures_count_a_customer_once_per_group(spark):
-    df = spark.createDataFrame([(1, "a", 2), (1, "a", 3), (2, "a", 1), (1, "b", 1)], "customer_id int, label string, count long")
+    rows = [(1, "a", 2), (1, "a", 3), (2, "a", 1), (1, "b", 1)]
+    df = spark.createDataFrame(rows, "customer_id int, label string, count long")
     assert sorted(tuples(measures(df, ["label"]))) == [("a", 6, 2), ("b", 1, 1)]
     assert sorted(tuples(measures(df, ["label"], approx=True))) == [("a", 6, 2), ("b", 1, 1)]
     assert tuples(grand_totals(df)) == [(7, 2)]
