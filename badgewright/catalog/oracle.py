@@ -46,8 +46,6 @@ RELATIONS = {
     "chosen": f"SELECT * FROM win WHERE label IN ({_list(q.LABELS)})",
     "tot": """SELECT CAST(sum(cnt) AS BIGINT) AS total_awards, count(DISTINCT customer_id) AS unique_users
       FROM badge_events""",
-    "summary": f"""SELECT CAST(list_position([{_list(q.LABELS)}], label) AS BIGINT) AS ord, label,
-      CAST(sum(cnt) AS BIGINT) AS total, count(DISTINCT customer_id) AS unique_users FROM chosen GROUP BY label""",
     "histo": """WITH per AS (SELECT customer_id, count(*) AS badges FROM win GROUP BY 1),
       seen AS (SELECT badges, count(*) AS users FROM per GROUP BY 1),
       spine AS (SELECT unnest(generate_series(0, max(badges))) AS badges FROM seen)
@@ -126,7 +124,6 @@ NEEDS = {
     "win": ["badge_events"],
     "chosen": ["win"],
     "tot": ["badge_events"],
-    "summary": ["chosen", "tot"],
     "histo": ["win"],
     "histogram": ["histo"],
     "trans": ["src"],

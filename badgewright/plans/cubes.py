@@ -7,7 +7,7 @@ by customer is the cube, not its raw rows.
 
 from __future__ import annotations
 
-from collections.abc import Collection
+from collections.abc import Collection, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,8 +63,13 @@ def with_calendar(df: DataFrame, date: str = "date") -> DataFrame:
     return df.withColumns({"quarter": quarter_label(date), "month": month_label(date)})
 
 
-def badges_per_day(customer_award: DataFrame, award: DataFrame, translation: DataFrame) -> DataFrame:
-    """Badges counted per customer, badge, day and day part."""
+def badges_per_day(
+    customer_award: DataFrame,
+    award: DataFrame,
+    translation: DataFrame,
+    badge: Sequence[str] = ("award_code", "label"),
+) -> DataFrame:
+    """Badges counted per customer, badge (the columns of ``badge``), day and day part."""
     earned = customer_award.select(
         "_uid",
         "customer_id",
@@ -73,7 +78,7 @@ def badges_per_day(customer_award: DataFrame, award: DataFrame, translation: Dat
         badge_day_part(F.hour("created_at")).alias("hour"),
     )
     named = enrich(earned, badges(award, translation), "award_id", spread=["_uid"])
-    return named.groupBy("customer_id", "award_code", "label", "date", "hour").agg(F.count("label").alias("count"))
+    return named.groupBy("customer_id", *badge, "date", "hour").agg(F.count("label").alias("count"))
 
 
 def badge_cube(
@@ -102,8 +107,7 @@ def badge_cube_with_answers(
     answer: DataFrame,
 ) -> DataFrame:
     """The older cube: without award codes, with the customer's onboarding answer."""
-    per_code = badges_per_day(customer_award, award, translation)
-    counted = per_code.groupBy("customer_id", "label", "date", "hour").agg(F.sum("count").alias("count"))
+    counted = badges_per_day(customer_award, award, translation, badge=["label"])
     given = given_answers(answer)
     answers = given.groupBy(*given.columns).agg(F.count(F.lit(1)).alias("times"))
     people = customer_labels(customer).drop("user_selected_level").join(answers, "appuser_id", "left")

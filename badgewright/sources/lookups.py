@@ -30,10 +30,6 @@ def provinces(spark: SparkSession) -> DataFrame:
     return literal_rows(spark, PROVINCES, ["province_postcode", "province_code", "province"])
 
 
-def postal_districts(spark: SparkSession) -> DataFrame:
-    return literal_rows(spark, POSTAL_DISTRICTS, ["province_postcode", "province"])
-
-
 def looked_up(key: Column | str, pairs: Iterable[tuple[str, str]]) -> Column:
     """Value of the key in a constant map, NULL where it is not there."""
     entries = ", ".join(f"{_literal(k)}, {_literal(v)}" for k, v in pairs)

@@ -4,8 +4,8 @@ import pytest
 from helpers import column, plan, tuples
 
 from badgewright.sources import files
-from badgewright.sources.jdbc import sql_options
-from badgewright.sources.lookups import literal_rows, looked_up
+from badgewright.sources.jdbc import read_sql, sql_options
+from badgewright.sources.lookups import literal_rows, looked_up, with_province
 
 
 def test_csv_with_mark_and_without_last_newline(spark, tmp_path):
@@ -15,6 +15,14 @@ def test_csv_with_mark_and_without_last_newline(spark, tmp_path):
     assert sorted(tuples(got)) == [("A", "Québec"), ("B", "Newfoundland & Labrador")]
 
 
+def test_lookup_read_from_csv(spark, tmp_path):
+    path = tmp_path / "lookup.csv"
+    path.write_text("province_postcode,province_code,province\nA,X1,Somewhere")
+    lookup = files.read_csv(spark, str(path), "province_postcode string, province_code string, province string")
+    df = spark.sql("SELECT explode(array('A', 'B')) AS province_postcode")
+    assert sorted(tuples(with_province(df, lookup))) == [("A", "X1", "Somewhere"), ("B", None, None)]
+
+
 def test_csv_round_trip(spark, tmp_path):
     df = spark.sql("SELECT 1L AS id, 'a,\"b\"' AS text, 0.1D AS x UNION ALL SELECT 2, NULL, NULL")
     path = str(tmp_path / "out")
@@ -76,6 +84,29 @@ def test_sql_scan_options():
         sql_options("jdbc:x", "SELECT 1", split_on="id", low=0, high=1)
 
 
+class Reader:
+    """Records what a scan would be asked for; no database is started."""
+
+    def __init__(self):
+        self.read = self
+
+    def format(self, name):
+        self.name = name
+        return self
+
+    def options(self, **options):
+        self.asked = options
+        return self
+
+    def load(self):
+        return self
+
+
+def test_sql_scan_asks_for_jdbc():
+    scan = read_sql(Reader(), "jdbc:x", "SELECT 1", password="p")
+    assert scan.name == "jdbc" and scan.asked["query"] == "SELECT 1" and scan.asked["password"] == "p"
+
+
 def test_constant_relations(spark):
     rows = [("a", "it's"), ("b", "back\\slash")]
     assert tuples(literal_rows(spark, rows, ["k", "v"])) == rows
