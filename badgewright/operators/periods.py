@@ -2,33 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from badgewright.fixed import PERIODS
-from badgewright.functions.periods import period
+from badgewright.functions.periods import Period, period
 from badgewright.operators.filters import as_date, date_range
 
 COMPARE_MODES = ("Previous", "Year ago")
 
 
+def every_period(day: Column, codes: Iterable[str] = PERIODS.values()) -> dict[tuple[str, str], Period]:
+    """Bounds of every code in both compare modes, for one reference day."""
+    return {(code, mode): period(code, day, mode) for code in codes for mode in COMPARE_MODES}
+
+
+def as_rows(periods: dict[tuple[str, str], Period]) -> Column:
+    """Make one row per period: code, compare mode and the four bounds."""
+    rows = [
+        F.struct(
+            F.lit(code).alias("code"),
+            F.lit(mode).alias("compare"),
+            *[bound.alias(name) for name, bound in bounds._asdict().items()],
+        )
+        for (code, mode), bounds in periods.items()
+    ]
+    return F.inline(F.array(*rows))
+
+
 def period_table(days: DataFrame, as_of: str = "as_of", codes: Sequence[str] | None = None) -> DataFrame:
     """For every reference day, the bounds of every period code in both compare modes."""
-    day = F.col(as_of)
-    rows = []
-    for code in codes or PERIODS.values():
-        for mode in COMPARE_MODES:
-            bounds = period(code, day, mode)
-            rows.append(
-                F.struct(
-                    F.lit(code).alias("code"),
-                    F.lit(mode).alias("compare"),
-                    *[bound.alias(name) for name, bound in bounds._asdict().items()],
-                )
-            )
-    return days.select(as_of, F.inline(F.array(*rows)))
+    return days.select(as_of, as_rows(every_period(F.col(as_of), codes or PERIODS.values())))
 
 
 def period_rollup(fact: DataFrame, as_of: Column | str) -> DataFrame:
@@ -39,18 +45,17 @@ def period_rollup(fact: DataFrame, as_of: Column | str) -> DataFrame:
     most 366 days, twice), which makes the range condition an equality between
     two small relations.
     """
-    reference = as_date(as_of)
-    periods = period_table(fact.sparkSession.range(1).select(reference.alias("as_of")))
-    bounds = [period(code, reference, mode) for code in PERIODS.values() for mode in COMPARE_MODES]
-    first = F.least(*[day for p in bounds for day in (p.start, p.cmp_start)])
-    last = F.greatest(*[day for p in bounds for day in (p.end, p.cmp_end)])
+    periods = every_period(as_date(as_of))
+    first = F.least(*[day for p in periods.values() for day in (p.start, p.cmp_start)])
+    last = F.greatest(*[day for p in periods.values() for day in (p.end, p.cmp_end)])
     daily = date_range(fact, first, last).groupBy("date").agg(F.sum("count").alias("n"))
 
     windows = F.array(
         F.struct(F.lit(True).alias("is_current"), F.col("start").alias("low"), F.col("end").alias("high")),
         F.struct(F.lit(False).alias("is_current"), F.col("cmp_start").alias("low"), F.col("cmp_end").alias("high")),
     )
-    days = periods.select("code", "compare", F.inline(windows)).select(
+    table = fact.sparkSession.range(1).select(as_rows(periods))
+    days = table.select("code", "compare", F.inline(windows)).select(
         "code", "compare", "is_current", F.explode(F.sequence("low", "high")).alias("date")
     )
     matched = days.join(daily, "date", "left")
