@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from badgewright.llm import decontaminate, lines, packing, token_files
+from badgewright.llm import bagminhash, decontaminate, lines, packing, substrings, token_files
 from badgewright.llm.shared import raw
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,16 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(raw(spark, sf_dir, "documents"), tokenizer, end_id=0)
 
 
+@query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats_report(raw(spark, sf_dir, "documents"))
+
+
 @query
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(raw(spark, sf_dir, "documents"), raw(spark, sf_dir, "benchmark"))
+
+
+@query
+def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_report(raw(spark, sf_dir, "documents"))
