@@ -1,36 +1,58 @@
 """Token ids of whole texts, by a public tokenizer file.
 
 A text is cut where the tokenizer cuts it in any case, and each different piece is encoded
-once by a worker. The pieces seen are kept in a bounded table per worker process.
+once by a worker. The pieces seen are kept in two tables of bounded size per worker process:
+when the young one is full it becomes the old one, from which pieces still in use move on.
 """
 
 from __future__ import annotations
 
+import os
 import re
+from array import array
 from collections.abc import Callable, Iterable
 
-import numpy as np
-
 KEPT_PIECES = 400_000
+_CUT = "\x1f"
+# Python takes these for white space, the tokenizers don't: texts that have them are not cut.
+_SEPARATORS = re.compile(r"[\x1c-\x1f]")
 
 # White space before a space: there a split at single spaces would cut a run in two.
-_RUN = re.compile(r"[\s\x1c-\x1f\x85] ")
+_RUN = re.compile(r"\s ")
 _PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+_NOT_LATIN = re.compile(r"[^\x00-ɏ]")
+# A single full stop or comma between a letter and white space is a piece of its own for every tokenizer here.
+_STOP = re.compile(r"(?<=[A-Za-z])(?=[.,](?:[ \n]|$))")
 
 
 def split_white_space(text: str) -> list[str]:
-    """For tokenizers that drop white space and never join what it separates."""
-    return text.split()
+    """For tokenizers that drop white space and case and never join what white space separates."""
+    if not _NOT_LATIN.search(text):
+        text = text.lower()
+    return _STOP.sub(" ", text).split()
 
 
 def split_before_spaces(text: str) -> list[str]:
     """For byte-level tokenizers, where one space belongs to the word after it."""
     if _RUN.search(text):
         return _PIECES.findall(text)
-    head, *rest = text.split(" ")
-    return [head, *[" " + x for x in rest]] if head else [" " + x for x in rest]
+    return [p for p in _STOP.sub(_CUT, text).replace(" ", _CUT + " ").split(_CUT) if p]
+
 
+def _byte_characters() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies.
+
+    Printable bytes stand for themselves, the others for characters from U+0100 on, in order.
+    """
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    table, spare = [""] * 256, 256
+    for byte in range(256):
+        table[byte] = chr(byte) if byte in printable else chr(spare)
+        spare += byte not in printable
+    return table
 
+
+_BYTES = _byte_characters()
 _SPLITS: dict[str, Callable[[str], list[str]]] = {"drop": split_white_space, "keep": split_before_spaces}
 _ENCODERS: dict[tuple, Encoder] = {}
 
@@ -43,40 +65,61 @@ class Encoder:
     """
 
     def __init__(self, path: str, white_space: str, kept: int = KEPT_PIECES):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.split, self.kept = _SPLITS[white_space], kept
-        self.pieces: dict[str, bytes] = {}
+        self.split, self.kept, self.white_space = _SPLITS[white_space], kept, white_space
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bool:
+        return _SEPARATORS.search(text) is not None or any(s in text for s in self.special)
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _encode_new(self, new: list[str]) -> None:
+        """Latin words are one piece of the model each, so they go to it past the tokenizer's other steps."""
+        tokenize, young, rest = self.tokenizer.model.tokenize, self.young, []
+        keep = self.white_space == "keep"
+        for piece in new:
+            word = piece[1:] if keep and piece[0] == " " else piece
+            if word.isascii() and word.isalpha():
+                word = word.lower() if not keep else "Ġ" + word if len(word) < len(piece) else word
+            elif word.isalpha() and not _NOT_LATIN.search(word):
+                word = "".join([_BYTES[b] for b in (piece if keep else piece.lower()).encode()])
+            else:
+                rest.append(piece)
+                continue
+            young[piece] = array("I", [t.id for t in tokenize(word)]).tobytes()
+        for first in range(0, len(rest), 10_000):
+            some = rest[first : first + 10_000]
+            young.update(zip(some, self._plain(some), strict=True))
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
-        texts = [t.encode("utf-8", "replace").decode() for t in texts]
-        cut = [None if any(s in t for s in self.special) else self.split(t) for t in texts]
-        pieces = self.pieces
-        new = list({p for pieces_of in cut if pieces_of for p in pieces_of if p not in pieces})
-        if len(pieces) + len(new) > self.kept:
-            pieces.clear()
-            new = list({p for pieces_of in cut if pieces_of for p in pieces_of})
-        for start in range(0, len(new), 10_000):
-            some = new[start : start + 10_000]
-            pieces.update(zip(some, self._plain(some), strict=True))
-        get = pieces.__getitem__
+        texts = [t if t.isascii() else t.encode("utf-8", "replace").decode() for t in texts]
+        cut = [None if self._whole(t) else self.split(t) for t in texts]
+        wanted: set[str] = set()
+        for pieces in cut:
+            wanted.update(pieces or ())
+        if len(self.young) + len(wanted) > self.kept and self.young:
+            self.old, self.young = self.young, {}
+        missing = wanted.difference(self.young)
+        known = missing.intersection(self.old)
+        self.young.update((p, self.old[p]) for p in known)
+        self._encode_new(list(missing.difference(known)))
+        get = self.young.__getitem__
         return [
-            self._plain([text])[0] if pieces_of is None else b"".join(map(get, pieces_of))
-            for text, pieces_of in zip(texts, cut, strict=True)
+            self._plain([text])[0] if pieces is None else b"".join(map(get, pieces))
+            for text, pieces in zip(texts, cut, strict=True)
         ]
 
 
 def encoder(path: str, white_space: str) -> Encoder:
     """The encoder of this worker process; it is kept between tasks."""
-    import os
-
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     key = (path, white_space)
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(path, white_space)
