@@ -40,6 +40,7 @@ from badgewright.sources.files import materialised
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
+BLOCK_SHINGLES = 8_000_000
 NODE = "struct<doc: bigint, twin: bigint>"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -212,7 +213,9 @@ def near_links(docs: DataFrame, signed: DataFrame, size: int, threshold: float)
     dealt = met.join(hot, "hub", "left").select(
         "hub", "node", F.explode(F.when(F.col("hub") == F.col("node"), every).otherwise(one)).alias("deal")
     )
-    texts = docs.select(F.struct("doc", "twin").alias("node"), "text")
+    # Only the texts of candidates are kept for the comparisons; the corpus is shuffled once.
+    wanted = met.select("node").distinct().select("node", "node.doc", "node.twin")
+    texts = materialised(docs.join(wanted, ["doc", "twin"]).select("node", "text"), "candidate-texts")
     with_text = texts.join(dealt, "node").select("hub", "deal", "node", "text")
     links = materialised(with_text.groupBy("hub", "deal").applyInArrow(_compare_with_hub(size, threshold), edge), "links")
     labels = components(links)
@@ -227,19 +230,17 @@ def near_links(docs: DataFrame, signed: DataFrame, size: int, threshold: float)
     )
     open_hubs = mixed_hubs.where("low <> high").select("hub", "hub_part")
     rest = materialised(salted_join(labelled, open_hubs, "hub", "node"), "candidates-apart")
-    apart = rest.where("part <> hub_part")
-    # Members are dealt into blocks of both roles; a pair of blocks is one comparison.
-    blocks0 = F.broadcast(hot_share(rest, "hub", "size").withColumnRenamed("_salts", "n0"))
-    blocks1 = F.broadcast(hot_share(apart, "hub", "size").withColumnRenamed("_salts", "n1"))
-    n0, n1 = F.coalesce("n0", F.lit(1)), F.coalesce("n1", F.lit(1))
-    sized = rest.join(blocks0, "hub", "left").join(blocks1, "hub", "left")
-    b0 = F.pmod(F.xxhash64("node"), n0).cast("int")
-    b1 = F.pmod(F.xxhash64("node", F.lit(1)), n1).cast("int")
-    asked = sized.select(
-        "hub", "node", "part", F.lit(0).alias("role"), b0.alias("b0"), F.explode(F.sequence(F.lit(0), n1 - 1)).alias("b1")
-    )
+    # Members are dealt into blocks of both roles; a pair of blocks is one comparison. A group of a share of
+    # all rows gets that share of the tasks, and no block more shingles than a task should hold.
+    hot = F.broadcast(hot_share(rest, "hub", "size", per_task=1))
+    cuts = F.greatest(F.ceil(F.sqrt("_salts")), F.ceil(F.col("_n") / BLOCK_SHINGLES))
+    sized = rest.join(hot.select("hub", cuts.cast("int").alias("n")), "hub", "left")
+    n = F.coalesce("n", F.lit(1))
+    own = F.pmod(F.xxhash64("node"), n).cast("int")
+    every = F.explode(F.sequence(F.lit(0), n - 1))
+    asked = sized.select("hub", "node", "part", F.lit(0).alias("role"), own.alias("b0"), every.alias("b1"))
     asking = sized.where("part <> hub_part").select(
-        "hub", "node", "part", F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0), n0 - 1)).alias("b0"), b1.alias("b1")
+        "hub", "node", "part", F.lit(1).alias("role"), every.alias("b0"), own.alias("b1")
     )
     pairs = texts.join(asked.unionByName(asking), "node").select("hub", "b0", "b1", "part", "role", "text")
     across = pairs.groupBy("hub", "b0", "b1").applyInArrow(_compare_apart(size, threshold), edge)

@@ -80,18 +80,18 @@ def record_batch(columns: Sequence, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
-def hot_share(rows: DataFrame, key: str, weight: str | None = None) -> DataFrame:
-    """Keys that hold more than a quarter of an even task's rows, and into how many salts each is split.
+def hot_share(rows: DataFrame, key: str, weight: str | None = None, per_task: int = 4) -> DataFrame:
+    """Keys that hold more than one of ``per_task`` parts of an even task's rows, their rows (_n) and parts (_salts).
 
-    A listed key has more than 1 / (4 * shuffle partitions) of all rows, so there are fewer
-    than four times as many keys as partitions: the list may be broadcast at any size.
+    A listed key has more than 1 / (per_task * shuffle partitions) of all rows, so there are fewer
+    than ``per_task`` times as many keys as partitions: the list may be broadcast at any size.
     """
-    spread = 4 * partitions(rows)
+    spread = per_task * partitions(rows)
     amount = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(amount.cast("double").alias("_n"))
     even = counts.agg(F.sum("_n")).scalar() / F.lit(float(spread))
     hot = counts.where((F.col("_n") > even) & (F.col("_n") > 64))
-    return hot.select(key, F.ceil(F.col("_n") / even).cast("int").alias("_salts"))
+    return hot.select(key, "_n", F.ceil(F.col("_n") / even).cast("int").alias("_salts"))
 
 
 def salted_join(many: DataFrame, one: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
@@ -100,7 +100,7 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, spread: str, how: str
     ``spread`` tells the rows of a key apart. Both tables should be written ones, as
     ``many`` is read twice.
     """
-    hot = F.broadcast(hot_share(many, key))
+    hot = F.broadcast(hot_share(many, key).drop("_n"))
     salts = F.coalesce("_salts", F.lit(1))
     left = many.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int"))
     right = one.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
