@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from badgewright.llm.shared import id_and_text, record_batch, slices
-from badgewright.llm.tokens import encoder
+from badgewright.llm.tokens import TEXT_BYTES, encoder
 from badgewright.sources.files import materialised
 
 SEQUENCE = 1024
@@ -109,14 +109,12 @@ class Slots:
 
 def _cut(tokenizer: str, white_space: str, end_id: int, size: int, with_ids: bool, schema: pa.Schema):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer, white_space), np.array([end_id], dtype="<u4").tobytes()
+        encode, end = encoder(tokenizer, white_space), np.array([end_id], dtype="<u4")
         part, seen = TaskContext.get().partitionId(), np.zeros(size + 1, dtype=np.int64)
-        for batch in slices(batches):
-            rows = []
-            for doc_id, ids in zip(
-                batch.column("doc_id").to_pylist(), encode.encode(batch.column("text").to_pylist()), strict=True
-            ):
-                ids += end
+        for batch in slices(batches, size=TEXT_BYTES):
+            rows, found = [], encode.encode(batch.column("text"))
+            for k, doc_id in enumerate(batch.column("doc_id").to_pylist()):
+                ids = np.concatenate([found.of(k), end]).astype("<u4").tobytes()
                 for start in range(0, len(ids), 4 * size):
                     piece = ids[start : start + 4 * size]
                     length = len(piece) // 4

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from badgewright.llm.shared import id_and_text, record_batch, slices
-from badgewright.llm.tokens import encoder
+from badgewright.llm.tokens import TEXT_BYTES, encoder
 from badgewright.sources.files import materialised, scratch_path
 
 MAGIC = b"BWTK"
@@ -72,16 +72,21 @@ class TokenWriter:
         self.stream, self.bits, self.block_ids = stream, bits, block_ids
         self.docs: list[tuple[int, int]] = []
         self.offsets: list[int] = []
-        self.at, self.ids, self.rest = 0, 0, np.zeros(0, dtype=np.uint32)
+        self.at, self.ids = 0, 0
+        self.held: list[np.ndarray] = []
+        self.n_held = 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.docs.append((NULL_ID if doc_id is None else doc_id, self.ids))
         self.ids += len(ids)
-        self.rest = np.concatenate([self.rest, ids])
-        whole = len(self.rest) // self.block_ids * self.block_ids
-        for start in range(0, whole, self.block_ids):
-            self._block(self.rest[start : start + self.block_ids])
-        self.rest = self.rest[whole:]
+        self.held.append(ids)
+        self.n_held += len(ids)
+        if self.n_held >= self.block_ids:
+            rest = np.concatenate(self.held)
+            whole = len(rest) // self.block_ids * self.block_ids
+            for start in range(0, whole, self.block_ids):
+                self._block(rest[start : start + self.block_ids])
+            self.held, self.n_held = [rest[whole:]], len(rest) - whole
 
     def _block(self, ids: np.ndarray) -> None:
         data = pack(ids, self.bits)
@@ -91,8 +96,8 @@ class TokenWriter:
 
     def close(self) -> None:
         """Write what is left, the tables and the trailer."""
-        if len(self.rest):
-            self._block(self.rest)
+        if self.n_held:
+            self._block(np.concatenate(self.held))
         self.stream.write(np.array(self.offsets, dtype="<u8").tobytes())
         self.stream.write(np.array(self.docs, dtype=_DOCS).tobytes())
         numbers = (len(self.docs), self.ids, len(self.offsets))
@@ -156,11 +161,11 @@ def _write_files(folder: str, tokenizer: str, white_space: str, end_id: int, bit
         name, attempt = f"{root}/part-{part:06d}.bwtk", f"{root}/.part-{part:06d}-{uuid.uuid4().hex}"
         encode, end = encoder(tokenizer, white_space), np.array([end_id], dtype=np.uint32)
         writer = None
-        for batch in slices(batches):
+        for batch in slices(batches, size=TEXT_BYTES):
             writer = writer or TokenWriter(store.open_output_stream(attempt), bits, block_ids)
-            ids = encode.encode(batch.column("text").to_pylist())
-            for doc_id, data in zip(batch.column("doc_id").to_pylist(), ids, strict=True):
-                writer.add(doc_id, np.concatenate([np.frombuffer(data, dtype="<u4"), end]))
+            found = encode.encode(batch.column("text"))
+            for k, doc_id in enumerate(batch.column("doc_id").to_pylist()):
+                writer.add(doc_id, np.concatenate([found.of(k), end]))
         if writer is None:
             return
         writer.close()

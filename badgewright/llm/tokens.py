@@ -1,8 +1,8 @@
 """Token ids of whole texts, by a public tokenizer file.
 
-A text is cut where the tokenizer cuts it in any case, and each different piece is encoded
-once by a worker. The pieces seen are kept in two tables of bounded size per worker process:
-when the young one is full it becomes the old one, from which pieces still in use move on.
+A text is cut where the tokenizer cuts it in any case. Arrow does the cutting and finds the different
+pieces of a batch; each is encoded once, and numpy puts the ids together. Pieces
+seen before are kept per worker process in a table of bounded size, by 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -10,58 +10,90 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Callable, Iterable
+from collections.abc import Iterator
+from dataclasses import dataclass
 
-KEPT_PIECES = 400_000
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from badgewright.llm.words import mixed, run_hashes, text_bytes
+
+KEPT_PIECES = 1_200_000
+TEXT_BYTES = 8 << 20
 _CUT = "\x1f"
-# Python takes these for white space, the tokenizers don't: texts that have them are not cut.
-_SEPARATORS = re.compile(r"[\x1c-\x1f]")
 
-# White space before a space: there a split at single spaces would cut a run in two.
+# Libraries differ on whether these are white space: texts that have them are not cut.
+_DOUBTFUL = "\x1c\x1d\x1e\x1f"
+# White space before a space: there a cut at single spaces would cut a run in two.
 _RUN = re.compile(r"\s ")
-_PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-_NOT_LATIN = re.compile(r"[^\x00-ɏ]")
-# A single full stop or comma between a letter and white space is a piece of its own for every tokenizer here.
-_STOP = re.compile(r"(?<=[A-Za-z])(?=[.,](?:[ \n]|$))")
 
 
-def split_white_space(text: str) -> list[str]:
-    """For tokenizers that drop white space and case and never join what white space separates."""
-    if not _NOT_LATIN.search(text):
-        text = text.lower()
-    return _STOP.sub(" ", text).split()
+_ENCODERS: dict[tuple, Encoder] = {}
+_SECOND = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
-def split_before_spaces(text: str) -> list[str]:
-    """For byte-level tokenizers, where one space belongs to the word after it."""
-    if _RUN.search(text):
-        return _PIECES.findall(text)
-    return [p for p in _STOP.sub(_CUT, text).replace(" ", _CUT + " ").split(_CUT) if p]
+def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, one after another."""
+    end = np.cumsum(size)
+    return np.repeat(start - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)
 
 
-def _byte_characters() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies.
+@dataclass
+class Segment:
+    """Pieces by hash: where their ids stand in ``ids``. ``h1`` ascends."""
 
-    Printable bytes stand for themselves, the others for characters from U+0100 on, in order.
-    """
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    table, spare = [""] * 256, 256
-    for byte in range(256):
-        table[byte] = chr(byte) if byte in printable else chr(spare)
-        spare += byte not in printable
-    return table
+    h1: np.ndarray
+    h2: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    ids: np.ndarray
 
+    @classmethod
+    def of(cls, h1: np.ndarray, h2: np.ndarray, size: np.ndarray, ids: np.ndarray) -> Segment:
+        order = np.argsort(h1)
+        return cls(h1[order], h2[order], (np.cumsum(size) - size)[order], size[order], ids)
+
+    def places(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """The place of each piece, -1 for those that are not here."""
+        if not len(self.h1):
+            return np.full(len(h1), -1)
+        place = np.minimum(np.searchsorted(self.h1, h1), len(self.h1) - 1)
+        return np.where((self.h1[place] == h1) & (self.h2[place] == h2), place, -1)
+
+    def and_also(self, other: Segment) -> Segment:
+        size, ids = np.concatenate([self.size, other.size]), np.concatenate([self.ids, other.ids])
+        start = np.concatenate([self.start, other.start + len(self.ids)])
+        h1, h2 = np.concatenate([self.h1, other.h1]), np.concatenate([self.h2, other.h2])
+        order = np.argsort(h1, kind="stable")
+        return Segment(h1[order], h2[order], start[order], size[order], ids)
 
-_BYTES = _byte_characters()
-_SPLITS: dict[str, Callable[[str], list[str]]] = {"drop": split_white_space, "keep": split_before_spaces}
-_ENCODERS: dict[tuple, Encoder] = {}
+
+def is_latin(word: str) -> bool:
+    """Of characters that lower-case to one letter each and have no other normal form."""
+    try:
+        word.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+@dataclass
+class Ids:
+    """Ids of all texts one after another; text k has those from ``first[k]`` to ``first[k + 1]``."""
+
+    ids: np.ndarray
+    first: np.ndarray
+
+    def of(self, text: int) -> np.ndarray:
+        return self.ids[self.first[text] : self.first[text + 1]]
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers, by one tokenizer file.
+    """Ids of texts by one tokenizer file.
 
-    ``white_space`` says what the tokenizer does with it: "drop", or "keep" where it follows
-    the byte-level pattern. The strings of special tokens are treated as the file says.
+    ``white_space`` says what the tokenizer does with it: "drop" (with upper case), or "keep" where one space
+    belongs to the word after it, as in byte-level patterns. The strings of special tokens are treated as the file says.
     """
 
     def __init__(self, path: str, white_space: str, kept: int = KEPT_PIECES):
@@ -70,52 +102,125 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.split, self.kept, self.white_space = _SPLITS[white_space], kept, white_space
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.keep, self.kept = {"drop": False, "keep": True}[white_space], kept
+        tokens = sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])
+        marks = (lambda t: t.startswith("Ġ")) if self.keep else (lambda t: t.endswith("</w>"))
+        self.edge = np.zeros(tokens[-1][1] + 1, dtype=bool)
+        self.edge[[k for t, k in tokens if marks(t)]] = True
+        self.segments: list[Segment] = []
 
     def _whole(self, text: str) -> bool:
-        return _SEPARATORS.search(text) is not None or any(s in text for s in self.special)
+        """Whether the text must not be cut."""
+        return any(s in text for s in (*_DOUBTFUL, *self.special)) or (self.keep and _RUN.search(text) is not None)
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def _encode_new(self, new: list[str]) -> None:
-        """Latin words are one piece of the model each, so they go to it past the tokenizer's other steps."""
-        tokenize, young, rest = self.tokenizer.model.tokenize, self.young, []
-        keep = self.white_space == "keep"
-        for piece in new:
-            word = piece[1:] if keep and piece[0] == " " else piece
-            if word.isascii() and word.isalpha():
-                word = word.lower() if not keep else "Ġ" + word if len(word) < len(piece) else word
-            elif word.isalpha() and not _NOT_LATIN.search(word):
-                word = "".join([_BYTES[b] for b in (piece if keep else piece.lower()).encode()])
-            else:
-                rest.append(piece)
+    def _encode_words(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words of letters (after a space each, if white space is kept), many to a text.
+
+        Each is a word of its own to the tokenizer, and its first or last id tells where it begins or ends.
+        """
+        for first in range(0, len(words), 2000):
+            some = words[first : first + 2000]
+            ids = np.frombuffer(self._plain([("" if self.keep else " ").join(some)])[0], "<u4")
+            edges = np.flatnonzero(self.edge[ids]) + (not self.keep)
+            cuts = [*edges.tolist(), len(ids)] if self.keep else [0, *edges.tolist()]
+            if len(cuts) != len(some) + 1 or cuts[0] or cuts[-1] != len(ids):
+                yield from self._plain(some)
                 continue
-            young[piece] = array("I", [t.id for t in tokenize(word)]).tobytes()
+            data = ids.tobytes()
+            yield from (data[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False))
+
+    def _encode_new(self, new: list[str]) -> list[bytes]:
+        """Ids of different pieces, each on its own."""
+        stops = {s: b for s, b in zip(".,", self._plain([".", ","]), strict=True)}
+        words: list[str] = []
+        ends: list[bytes] = []
+        of: list[int] = []
+        rest: list[int] = []
+        start = int(self.keep)
+        for number, piece in enumerate(new):
+            # A full stop or comma at the end, after a letter, is a word of its own.
+            stop = stops.get(piece[-1:], b"")
+            word = piece[:-1] if stop else piece
+            if word[start:].isalpha() and is_latin(word) and (not start or word[0] == " "):
+                words.append(word)
+                ends.append(stop)
+                of.append(number)
+            else:
+                rest.append(number)
+        out = [b""] * len(new)
+        for number, ids, stop in zip(of, self._encode_words(words), ends, strict=True):
+            out[number] = ids + stop
         for first in range(0, len(rest), 10_000):
             some = rest[first : first + 10_000]
-            young.update(zip(some, self._plain(some), strict=True))
-
-    def encode(self, texts: Iterable[str]) -> list[bytes]:
-        texts = [t if t.isascii() else t.encode("utf-8", "replace").decode() for t in texts]
-        cut = [None if self._whole(t) else self.split(t) for t in texts]
-        wanted: set[str] = set()
-        for pieces in cut:
-            wanted.update(pieces or ())
-        if len(self.young) + len(wanted) > self.kept and self.young:
-            self.old, self.young = self.young, {}
-        missing = wanted.difference(self.young)
-        known = missing.intersection(self.old)
-        self.young.update((p, self.old[p]) for p in known)
-        self._encode_new(list(missing.difference(known)))
-        get = self.young.__getitem__
-        return [
-            self._plain([text])[0] if pieces is None else b"".join(map(get, pieces))
-            for text, pieces in zip(texts, cut, strict=True)
-        ]
+            for number, ids in zip(some, self._plain([new[k] for k in some]), strict=True):
+                out[number] = ids
+        return out
+
+    def _table(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids, one after another, of different pieces."""
+        data, rows = text_bytes(pieces)
+        h1 = run_hashes(data, rows[:-1], rows[1:], byte_values=True)
+        h2 = run_hashes(_SECOND[data], rows[:-1], rows[1:])
+        place, segment = np.full(len(h1), -1), np.full(len(h1), -1)
+        for k, known in enumerate(self.segments):
+            left = np.flatnonzero(segment < 0)
+            found = known.places(h1[left], h2[left])
+            place[left], segment[left] = found, np.where(found >= 0, k, -1)
+        new = np.flatnonzero(segment < 0)
+        values = self._encode_new(pieces.take(pa.array(new)).to_pylist())
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        fresh = Segment.of(h1[new], h2[new], sizes, np.frombuffer(b"".join(values), dtype="<u4"))
+        place[new], segment[new] = fresh.places(h1[new], h2[new]), len(self.segments)
+        every = [*self.segments, fresh]
+        size = np.zeros(len(h1), dtype=np.int64)
+        for k, known in enumerate(every):
+            size[segment == k] = known.size[place[segment == k]]
+        start = np.cumsum(size) - size
+        ids = np.empty(int(size.sum()), dtype=np.uint32)
+        for k, known in enumerate(every):
+            mine = segment == k
+            ids[spans(start[mine], size[mine])] = known.ids[spans(known.start[place[mine]], size[mine])]
+        self._keep(fresh)
+        return size, ids
+
+    def _keep(self, fresh: Segment) -> None:
+        """Segments are merged so that each is at least twice as large as the next."""
+        if sum(len(x.h1) for x in self.segments) + len(fresh.h1) > self.kept:
+            self.segments = []
+        self.segments.append(fresh)
+        while len(self.segments) > 1 and len(self.segments[-2].h1) < 2 * len(self.segments[-1].h1):
+            last = self.segments.pop()
+            self.segments[-1] = self.segments[-1].and_also(last)
+
+    def _cut(self, texts: pa.Array) -> pa.ListArray:
+        if not self.keep:
+            return pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        return pc.split_pattern(pc.replace_substring(texts, " ", _CUT + " "), _CUT)
+
+    def encode(self, texts: pa.Array) -> Ids:
+        """Ids of every text; nulls are empty. Bytes that are no text are replaced as Python replaces them."""
+        texts = texts.fill_null("") if texts.null_count else texts
+        whole = {k: t for k, t in enumerate(texts.to_pylist()) if self._whole(t)}
+        if whole:
+            rest = pa.array(["" if k in whole else t for k, t in enumerate(texts.to_pylist())], texts.type)
+        lists = self._cut(rest if whole else texts)
+        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        encoded = lists.flatten().dictionary_encode()
+        number = encoded.indices.to_numpy(zero_copy_only=False)
+        size, table = self._table(encoded.dictionary)
+        lengths = size[number]
+        ids = table[spans((np.cumsum(size) - size)[number], lengths)]
+        first = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
+        if not whole:
+            return Ids(ids, first)
+        parts = [ids[first[k] : first[k + 1]] for k in range(len(texts))]
+        for k, found in zip(whole, self._plain(list(whole.values())), strict=True):
+            parts[k] = np.frombuffer(found, dtype="<u4")
+        return Ids(np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]))
 
 
 def encoder(path: str, white_space: str) -> Encoder:

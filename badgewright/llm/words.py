@@ -45,7 +45,7 @@ def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, byte_va
     while first < len(starts):
         low = int(starts[first])
         last = max(first + 1, int(np.searchsorted(starts, low + BLOCK)))
-        here = values[low : int(ends[first:last].max())]
+        here = values[low : int(ends[first:last].max(initial=low))]
         here = _BYTE[here] if byte_values else here
         power, inverse = _powers(len(here) + 1)
         sums = np.zeros(len(here) + 1, dtype=np.uint64)
