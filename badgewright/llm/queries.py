@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from badgewright.llm import bagminhash, decontaminate, lines, packing, substrings, token_files
+from badgewright.llm import bagminhash, decontaminate, divergence, lines, packing, style_tree, substrings, token_files, toxicity
 from badgewright.llm.shared import raw
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,21 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@query
+def op2_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.judge_documents(raw(spark, sf_dir, "documents"))
+
+
+@query
+def op3_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return style_tree.extract_text(raw(spark, sf_dir, "pages"))
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(raw(spark, sf_dir, "documents"), raw(spark, sf_dir, "labels"))
+
+
 @query
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(raw(spark, sf_dir, "documents"))

@@ -38,7 +38,7 @@ from badgewright.sources.files import materialised
 
 WINDOW = 35
 GRAM = 8
-SHARD_WORDS = 40_000
+SHARD_WORDS = 20_000
 MANY_CONTEXTS = 256
 
 PLACES = "anchor bigint, context bigint, size int, doc bigint, twin bigint, at int"
