@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from badgewright.llm.shared import record_batch, slices, workers_find_package
+from badgewright.llm.shared import record_batch, slices, prepare_workers
 from badgewright.llm.words import Words, mixed, pieces, run_hashes, split_words, text_bytes, windows
 
 COMMON = 1 / 400
@@ -198,11 +198,13 @@ def build_references(docs: DataFrame, common: float = COMMON) -> References:
         if row["lang"] in large_rows:
             table.setdefault(row["lang"], np.zeros(len(hashes) + 1 + CLASSES))[row["pos"]] = row["n"]
     table = {k: v for k, v in sorted(table.items(), key=lambda x: (x[0] is None, x[0])) if v[: len(hashes) + 1].sum()}
-    words = np.array([v[: len(hashes) + 1] / v[: len(hashes) + 1].sum() for v in table.values()]).reshape(len(table), -1)
-    classes = np.array([v[len(hashes) + 1 :] / v[len(hashes) + 1 :].sum() for v in table.values()]).reshape(len(table), -1)
-    kept = words[:, :-1].max(axis=0) >= common if len(table) else np.zeros(0, dtype=bool)
-    rest = words[:, :-1][:, ~kept].sum(axis=1, keepdims=True) + words[:, -1:] if len(table) else np.zeros((0, 1))
-    shares = np.concatenate([words[:, :-1][:, kept], rest], axis=1) if len(table) else np.zeros((0, 1))
+    if not table:
+        return References([], hashes[:0], np.zeros((0, 1)), np.zeros((0, CLASSES)))
+    words = np.array([v[: len(hashes) + 1] / v[: len(hashes) + 1].sum() for v in table.values()])
+    classes = np.array([v[len(hashes) + 1 :] / v[len(hashes) + 1 :].sum() for v in table.values()])
+    kept = words[:, :-1].max(axis=0) >= common
+    rest = words[:, :-1][:, ~kept].sum(axis=1, keepdims=True) + words[:, -1:]
+    shares = np.concatenate([words[:, :-1][:, kept], rest], axis=1)
     return References([k or "" for k in table], hashes[kept], shares, classes)
 
 
@@ -263,7 +265,7 @@ def judge_documents(
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    workers_find_package(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     state = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),

@@ -19,16 +19,28 @@ BATCH_BYTES = 4 << 20
 LAST_ID = 2**63 - 1
 
 
-def workers_find_package(spark: SparkSession) -> None:
-    """Python workers that the session starts look for this package where the driver has it.
+# Python workers live long and hold what their allocators keep. Large arrays go back to the system at once.
+ALLOCATORS = {
+    "ARROW_DEFAULT_MEMORY_POOL": "system",
+    "MALLOC_ARENA_MAX": "1",
+    "MALLOC_MMAP_THRESHOLD_": str(1 << 20),
+    "MALLOC_TRIM_THRESHOLD_": str(1 << 20),
+}
 
-    It matters where the package is not installed and the working directory is another one.
+
+def prepare_workers(spark: SparkSession) -> None:
+    """Settings of the Python workers that the session starts from now on.
+
+    They look for this package where the driver has it, which matters where it is not installed and the
+    working directory is another one, and they give memory back (``ALLOCATORS``), unless the session says otherwise.
     """
     known = spark.sparkContext.environment
     paths = known.get("PYTHONPATH", "").split(os.pathsep)
     root = str(Path(__file__).resolve().parents[2])
     if root not in paths:
         known["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    for name, value in ALLOCATORS.items():
+        known.setdefault(name, value)
 
 
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +49,7 @@ def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id bigint, text string); a null text is empty."""
-    workers_find_package(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     return docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
@@ -46,7 +58,7 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, row): ``row`` holds every column as it came, whatever their names."""
-    workers_find_package(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     return docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),

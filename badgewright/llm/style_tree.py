@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from badgewright.llm.shared import record_batch, salted_join, slices, workers_find_package
+from badgewright.llm.shared import record_batch, salted_join, slices, prepare_workers
 from badgewright.sources.files import materialised
 
 PRIOR_PAGES = 64
@@ -279,7 +279,7 @@ def extract_text(
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    workers_find_package(pages.sparkSession)
+    prepare_workers(pages.sparkSession)
     state = pages.select(
         F.col(id_col).cast("bigint").alias("page_id"),
         F.col(url_col).cast("string").alias("url"),

@@ -2,7 +2,7 @@
 
 A text is cut where the tokenizer cuts it in any case. Arrow does the cutting and finds the different
 pieces of a batch; each is encoded once, and numpy puts the ids together. Pieces
-seen before are kept per worker process in a table of bounded size, by 128-bit hashes.
+seen before are kept per worker process in a table of bounded size, by 96-bit hashes.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ import pyarrow.compute as pc
 
 from badgewright.llm.words import mixed, run_hashes, text_bytes
 
-KEPT_PIECES = 1_200_000
-TEXT_BYTES = 8 << 20
+KEPT_PIECES = 800_000
+TEXT_BYTES = 4 << 20
+NEW_PIECES = 20_000
 _CUT = "\x1f"
 
 # Libraries differ on whether these are white space: texts that have them are not cut.
@@ -35,7 +36,7 @@ _SECOND = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF9
 
 def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The numbers from each start on, as many as its size, one after another."""
-    end = np.cumsum(size)
+    end = np.cumsum(size, dtype=np.int64)
     return np.repeat(start - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)
 
 
@@ -52,7 +53,8 @@ class Segment:
     @classmethod
     def of(cls, h1: np.ndarray, h2: np.ndarray, size: np.ndarray, ids: np.ndarray) -> Segment:
         order = np.argsort(h1)
-        return cls(h1[order], h2[order], (np.cumsum(size) - size)[order], size[order], ids)
+        start = (np.cumsum(size, dtype=np.int64) - size).astype(np.int32)
+        return cls(h1[order], h2[order], start[order], size[order], ids)
 
     def places(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """The place of each piece, -1 for those that are not here."""
@@ -63,7 +65,7 @@ class Segment:
 
     def and_also(self, other: Segment) -> Segment:
         size, ids = np.concatenate([self.size, other.size]), np.concatenate([self.ids, other.ids])
-        start = np.concatenate([self.start, other.start + len(self.ids)])
+        start = np.concatenate([self.start, other.start + np.int32(len(self.ids))])
         h1, h2 = np.concatenate([self.h1, other.h1]), np.concatenate([self.h2, other.h2])
         order = np.argsort(h1, kind="stable")
         return Segment(h1[order], h2[order], start[order], size[order], ids)
@@ -164,22 +166,25 @@ class Encoder:
         """Sizes and ids, one after another, of different pieces."""
         data, rows = text_bytes(pieces)
         h1 = run_hashes(data, rows[:-1], rows[1:], byte_values=True)
-        h2 = run_hashes(_SECOND[data], rows[:-1], rows[1:])
+        h2 = run_hashes(_SECOND[data], rows[:-1], rows[1:]).astype(np.uint32)
         place, segment = np.full(len(h1), -1), np.full(len(h1), -1)
         for k, known in enumerate(self.segments):
             left = np.flatnonzero(segment < 0)
             found = known.places(h1[left], h2[left])
             place[left], segment[left] = found, np.where(found >= 0, k, -1)
         new = np.flatnonzero(segment < 0)
-        values = self._encode_new(pieces.take(pa.array(new)).to_pylist())
-        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        fresh = Segment.of(h1[new], h2[new], sizes, np.frombuffer(b"".join(values), dtype="<u4"))
+        sizes, parts = [np.zeros(0, np.int32)], [np.zeros(0, np.uint32)]
+        for first in range(0, len(new), NEW_PIECES):
+            values = self._encode_new(pieces.take(pa.array(new[first : first + NEW_PIECES])).to_pylist())
+            sizes.append(np.fromiter(map(len, values), np.int32, len(values)) // 4)
+            parts.append(np.frombuffer(b"".join(values), dtype="<u4"))
+        fresh = Segment.of(h1[new], h2[new], np.concatenate(sizes).astype(np.int32), np.concatenate(parts))
         place[new], segment[new] = fresh.places(h1[new], h2[new]), len(self.segments)
         every = [*self.segments, fresh]
-        size = np.zeros(len(h1), dtype=np.int64)
+        size = np.zeros(len(h1), dtype=np.int32)
         for k, known in enumerate(every):
             size[segment == k] = known.size[place[segment == k]]
-        start = np.cumsum(size) - size
+        start = np.cumsum(size, dtype=np.int64) - size
         ids = np.empty(int(size.sum()), dtype=np.uint32)
         for k, known in enumerate(every):
             mine = segment == k
@@ -213,8 +218,8 @@ class Encoder:
         number = encoded.indices.to_numpy(zero_copy_only=False)
         size, table = self._table(encoded.dictionary)
         lengths = size[number]
-        ids = table[spans((np.cumsum(size) - size)[number], lengths)]
-        first = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
+        ids = table[spans((np.cumsum(size, dtype=np.int64) - size)[number], lengths)]
+        first = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])[np.concatenate([[0], np.cumsum(counts)])]
         if not whole:
             return Ids(ids, first)
         parts = [ids[first[k] : first[k + 1]] for k in range(len(texts))]
