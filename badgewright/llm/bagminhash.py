@@ -213,8 +213,9 @@ def near_links(docs: DataFrame, signed: DataFrame, size: int, threshold: float)
     dealt = met.join(hot, "hub", "left").select(
         "hub", "node", F.explode(F.when(F.col("hub") == F.col("node"), every).otherwise(one)).alias("deal")
     )
-    # Only the texts of candidates are kept for the comparisons; the corpus is shuffled once.
-    wanted = met.select("node").distinct().select("node", "node.doc", "node.twin")
+    # Only the texts of candidates are kept for the comparisons; the corpus is shuffled once, by the same
+    # kind of join at every size.
+    wanted = met.select("node").distinct().select("node", "node.doc", "node.twin").hint("merge")
     texts = materialised(docs.join(wanted, ["doc", "twin"]).select("node", "text"), "candidate-texts")
     with_text = texts.join(dealt, "node").select("hub", "deal", "node", "text")
     links = materialised(with_text.groupBy("hub", "deal").applyInArrow(_compare_with_hub(size, threshold), edge), "links")
