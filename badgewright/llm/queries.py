@@ -7,13 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from badgewright.llm import bagminhash, decontaminate, divergence, lines, packing, style_tree, substrings, token_files, toxicity
+from badgewright.llm import bagminhash, decontaminate, divergence, lines, packing, quality, style_tree, substrings, token_files, toxicity
+from badgewright.llm.oracle import ORACLE
 from badgewright.llm.shared import raw
 
+__all__ = ["ORACLE", "QUERIES"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
 
 
 def query(build: Query) -> Query:
@@ -48,6 +50,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(raw(spark, sf_dir, "documents"))
 
 
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(raw(spark, sf_dir, "documents"), raw(spark, sf_dir, "labels"))
+
+
 @query
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
