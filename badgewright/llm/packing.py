@@ -161,7 +161,7 @@ def pack_pieces(cut: DataFrame, size: int = SEQUENCE) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    counts = cut.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialised(cut.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     histogram = counts.groupBy("length").agg(F.sum("n").alias("n")).collect()  # ``size`` rows at most
     slots = Slots.of(shortest_pack_first({row["length"]: row["n"] for row in histogram}, size))
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from badgewright.llm.words import mixed, run_hashes, text_bytes
 
 KEPT_PIECES = 800_000
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 NEW_PIECES = 20_000
 _CUT = "\x1f"
 
