@@ -1,8 +1,8 @@
 """The driver's tables in the shape of the programme's tables.
 
-Remainders (``%``) here give the test data the cases the programme has (awards
-with no text, with French only, with several languages; ballots of no cycle);
-they select nothing away from a query.
+Remainders (``%``) here give the test data the cases the programme has: awards
+with no text, with French only, with several languages; a few minutes with two codes; customer
+awards of no award (NULL key); ballots of no cycle (NULL key). Every row of every table is read.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from badgewright.functions.dayparts import badge_day_part
 from badgewright.functions.labels import age_band, date_of, month_label, postal_initial, quarter_label
 from badgewright.functions.regions import epoch_micros
-from badgewright.operators.joins import count_before_join, enrich
+from badgewright.operators.joins import counted_rows, enrich
 from badgewright.sources.lookups import province_name
 
 # Regions of the mobile events, by nation.
@@ -38,22 +38,19 @@ REGIONS = [
 INTRADAY_FROM = "2024-01-25"
 
 
-# Schemas of files seen before, so that each is inferred once per process.
-_SCHEMAS: dict[str, T.StructType] = {}
-
-
 class Tables:
     """Programme tables derived from the parquet tables of one directory."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root
+        self._schemas: dict[str, T.StructType] = {}
 
     def raw(self, name: str) -> DataFrame:
         path = f"{self.root}/{name}.parquet"
-        if path not in _SCHEMAS:
-            _SCHEMAS[path] = self.spark.read.parquet(path).schema
-        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
+        if name not in self._schemas:
+            self._schemas[name] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self._schemas[name]).parquet(path)
 
     def customer(self) -> DataFrame:
         return self.raw("customer").selectExpr(
@@ -78,7 +75,9 @@ class Tables:
 
     def award(self) -> DataFrame:
         return self.raw("part").selectExpr(
-            "p_partkey AS _uid", "p_brand AS award_code", "p_size % 10 AS num_ballots"
+            "p_partkey AS _uid",
+            "concat('A', p_size, CASE WHEN p_size % 10 = 0 AND p_partkey % 2 = 0 THEN 'x' ELSE '' END) AS award_code",
+            "p_size % 10 AS num_ballots",
         )
 
     def translation(self) -> DataFrame:
@@ -109,19 +108,20 @@ class Tables:
         )
 
     def cycle_instance(self) -> DataFrame:
-        return self.raw("supplier").selectExpr("s_suppkey AS _uid", "s_nationkey AS reward_cycle_id")
+        return self.raw("supplier").selectExpr("s_suppkey AS _uid", "nullif(s_nationkey, 24) AS reward_cycle_id")
 
     def cycle(self) -> DataFrame:
         region = self.raw("region").selectExpr("r_regionkey AS n_regionkey", "r_name AS cycle_type")
-        nation = self.raw("nation").where("n_nationkey <> 24").select("n_nationkey", "n_regionkey")
+        nation = self.raw("nation").select("n_nationkey", "n_regionkey")
         return enrich(nation, region, "n_regionkey").selectExpr("n_nationkey AS _uid", "cycle_type")
 
     def reward_award(self) -> DataFrame:
-        """Customer awards that ballots belong to."""
-        return self.raw("orders").selectExpr(
-            "o_orderkey AS _uid",
-            "o_custkey AS customer_id",
-            "CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey % 200 END AS award_id",
+        """Customer awards that ballots belong to, over all awards; every eleventh is of none."""
+        order, awards = F.col("o_orderkey"), self.raw("part").agg(F.max("p_partkey") + 1).scalar()
+        return self.raw("orders").select(
+            order.alias("_uid"),
+            F.col("o_custkey").alias("customer_id"),
+            F.when(order % 11 != 0, order % awards).alias("award_id"),
         )
 
     def reward_tables(self) -> tuple[DataFrame, ...]:
@@ -169,7 +169,7 @@ class Tables:
             initial.alias("province_postcode"),
             province_name(initial).alias("province"),
         )
-        fact = enrich(count_before_join(events, people), people, "customer_id", count_from=events)
+        fact = enrich(counted_rows(events), people, "customer_id", count_from=events)
         return fact.withColumns({"quarter": quarter_label("date"), "month": month_label("date")})
 
     def order_events(self) -> DataFrame:

@@ -46,7 +46,9 @@ RELATIONS = {
     "chosen": f"SELECT * FROM win WHERE label IN ({_list(q.LABELS)})",
     "tot": """SELECT CAST(sum(cnt) AS BIGINT) AS total_awards, count(DISTINCT customer_id) AS unique_users
       FROM badge_events""",
-    "histo": """WITH per AS (SELECT customer_id, count(*) AS badges FROM win GROUP BY 1),
+    "grouped": f"""SELECT customer_id, label, date, {BADGE_PART.format(h='hour(created_at)')} AS hour,
+      user_selected_level, count(*) AS cnt FROM win GROUP BY ALL""",
+    "histo": """WITH per AS (SELECT customer_id, count(*) AS badges FROM grouped GROUP BY 1),
       seen AS (SELECT badges, count(*) AS users FROM per GROUP BY 1),
       spine AS (SELECT unnest(generate_series(0, max(badges))) AS badges FROM seen)
       SELECT spine.badges, coalesce(users, 0) AS users,
@@ -58,7 +60,9 @@ RELATIONS = {
       CAST(100 AS DOUBLE) * cum / n AS cum_penetration FROM histo""",
     "cust_award": """SELECT o_custkey AS customer_id, l_partkey AS award_id, l_shipdate AS created_at
       FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
-    "award": "SELECT p_partkey AS uid, p_brand AS award_code, p_size % 10 AS num_ballots FROM part",
+    "award": """SELECT p_partkey AS uid, 'A' || p_size ||
+      CASE WHEN p_size % 10 = 0 AND p_partkey % 2 = 0 THEN 'x' ELSE '' END AS award_code,
+      p_size % 10 AS num_ballots FROM part""",
     "src": """SELECT p_partkey AS master_id, p_size,
       CASE WHEN p_type = 'PROMO' THEN p_size || ' Minutes Milestone' ELSE p_name END AS d FROM part""",
     "trans": """SELECT master_id, 'en' AS language_code, d AS label FROM src WHERE p_size % 7 <> 0
@@ -89,10 +93,11 @@ RELATIONS = {
         {REWARD_PART.format(h='hour(b.l_shipdate)')} AS hour
       FROM lineitem b
       LEFT JOIN (SELECT s_suppkey, cycle_type FROM supplier LEFT JOIN
-          (SELECT n_nationkey, r_name AS cycle_type FROM nation JOIN region ON r_regionkey = n_regionkey
-           WHERE n_nationkey <> 24) cy ON n_nationkey = s_nationkey) ci ON s_suppkey = nullif(b.l_suppkey, 0)
+          (SELECT n_nationkey, r_name AS cycle_type FROM nation JOIN region ON r_regionkey = n_regionkey) cy
+          ON n_nationkey = nullif(s_nationkey, 24)) ci ON s_suppkey = nullif(b.l_suppkey, 0)
       LEFT JOIN (SELECT o_orderkey AS uid, o_custkey AS customer_id,
-          CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderkey % 200 END AS award_id FROM orders) ra
+          CASE WHEN o_orderkey % 11 = 0 THEN NULL
+            ELSE o_orderkey % (SELECT max(p_partkey) + 1 FROM part) END AS award_id FROM orders) ra
         ON ra.uid = b.l_orderkey
       LEFT JOIN award ON award.uid = ra.award_id
       LEFT JOIN cust ON cust.uid = ra.customer_id
@@ -124,7 +129,8 @@ NEEDS = {
     "win": ["badge_events"],
     "chosen": ["win"],
     "tot": ["badge_events"],
-    "histo": ["win"],
+    "grouped": ["win"],
+    "histo": ["grouped"],
     "histogram": ["histo"],
     "trans": ["src"],
     "miles": ["trans"],
@@ -223,7 +229,7 @@ def _tiles(rows: str) -> str:
 
 PIVOT = ", ".join(
     f"CAST(sum(CASE WHEN coalesce(cycle_type, '<NA>') = '{c}' THEN 1 END) AS BIGINT) AS \"{c}\"" for c in q.CYCLES
-)
+) + f", CAST(sum(CASE WHEN coalesce(cycle_type, '<NA>') NOT IN ({_list(q.CYCLES)}) THEN 1 END) AS BIGINT) AS \"<other>\""
 REWARD_WINDOW = f"""date BETWEEN DATE '{q.REWARDS_FIRST}' AND DATE '{q.REWARDS_LAST}'
   AND label IN ({_list(q.REWARD_LABELS)})"""
 FIRST_OPENS = " UNION ALL ".join(
@@ -273,10 +279,10 @@ ORACLE: dict[str, str] = {
         for c in ("distribution", "penetration", "cum_distribution", "cum_penetration")
     )
     + " FROM histogram",
-    "activity_levels": _with("win")
+    "activity_levels": _with("grouped")
     + """SELECT level, n, CAST(100 AS DOUBLE) * n / sum(n) OVER () AS share,
       CAST(100 AS DOUBLE) * sum(n) OVER (ORDER BY level) / sum(n) OVER () AS cum_share
-      FROM (SELECT user_selected_level AS level, count(*) AS n FROM win GROUP BY 1)""",
+      FROM (SELECT user_selected_level AS level, count(*) AS n FROM grouped GROUP BY 1)""",
     "activity_goals": _with("cube")
     + f""", cubes AS (SELECT customer_id, label, date, count AS cnt FROM cube)
       {_summary_of(

@@ -69,25 +69,22 @@ def badge_delta(t: Tables) -> DataFrame:
 
 @query
 def badge_histogram(t: Tables) -> DataFrame:
-    return reports.badge_histogram(t.badge_events(), FIRST, LAST)
+    return reports.badge_histogram(t.badge_facts(), FIRST, LAST)
 
 
 @query
 def badge_histogram_display(t: Tables) -> DataFrame:
-    return reports.badge_histogram_display(reports.badge_histogram(t.badge_events(), FIRST, LAST))
+    return reports.badge_histogram_display(reports.badge_histogram(t.badge_facts(), FIRST, LAST))
 
 
 @query
 def activity_levels(t: Tables) -> DataFrame:
-    return reports.activity_levels(t.badge_events(), FIRST, LAST)
+    return reports.activity_levels(t.badge_facts(), FIRST, LAST)
 
 
 @query
 def activity_goals(t: Tables) -> DataFrame:
-    # The report reads the cube twice, for the window and for the grand totals.
-    cube = cubes.badge_cube(*t.badge_tables())
-    cube = cube.groupBy("customer_id", "label", "date").agg(F.sum("count").alias("count"))
-    return reports.badge_summary(files.materialised(cube, "badge-cube"), GOALS, GOALS_FIRST, GOALS_LAST)
+    return reports.badge_summary(cubes.badge_cube_sums(*t.badge_tables()), GOALS, GOALS_FIRST, GOALS_LAST)
 
 
 @query
@@ -224,10 +221,8 @@ def badge_cube(t: Tables) -> DataFrame:
 
 @query
 def badge_cube_province(t: Tables) -> DataFrame:
-    cube = cubes.with_badge_province(cubes.badge_cube(*t.badge_tables()))
-    return cube.groupBy("province_postcode", "province_code", "province", "label", "quarter").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum("count").alias("count")
-    )
+    sums = cubes.badge_provinces(*t.badge_tables())
+    return sums.select("province_postcode", "province_code", "province", "label", "quarter", "n_rows", "count")
 
 
 @query

@@ -102,15 +102,24 @@ def running_shares(df: DataFrame, key: str, n: str = "n") -> DataFrame:
 
 
 def pivot_sum(
-    df: DataFrame, row: str, column: str, values: Sequence[str], n: str = "n", absent: str = "<NA>"
+    df: DataFrame,
+    row: str,
+    column: str,
+    values: Sequence[str],
+    n: str = "n",
+    absent: str = "<NA>",
+    other: str = "<other>",
 ) -> DataFrame:
     """One row per ``row``, one column per value; pairs that do not occur stay NULL.
 
-    The values are given, so the schema is fixed and no job runs to find them.
-    NULL has its own column, named ``absent``.
+    The values are given, so the schema is fixed and no job runs to find them. NULL has its own column, named
+    ``absent``; all values that are not given are summed in the last column, named ``other``, so a row's columns
+    add up to its whole.
     """
-    named = df.withColumn(column, F.coalesce(column, F.lit(absent)))
-    return named.groupBy(row).pivot(column, list(values)).agg(F.sum(n))
+    named = F.coalesce(column, F.lit(absent))
+    named = F.when(named.isin(list(values)) | (named == absent), named).otherwise(F.lit(other))
+    columns = [*dict.fromkeys([*values, absent]), other]
+    return df.withColumn(column, named).groupBy(row).pivot(column, columns).agg(F.sum(n))
 
 
 def in_order(df: DataFrame, labels: Sequence[str], label: str = "label") -> DataFrame:

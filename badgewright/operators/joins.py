@@ -1,10 +1,11 @@
 """Joins that hold when one key has a third of all rows.
 
-``enrich`` joins a fact with a dimension on one key. A dimension whose inputs
-are small is broadcast. Otherwise both sides are shuffled, and the rows of every
-hot key are spread over as many salts as they fill tasks, with the dimension's
-rows of that key repeated once per salt. Rows whose key is NULL match nothing
-and are spread as well. No row is dropped, so the result is that of a plain join.
+``enrich`` joins a fact with a dimension on one key. A dimension that is small, by
+what it reads and by its own plan, is broadcast. Otherwise both sides are shuffled. Where
+adaptive execution handles skewed joins, it splits the fact's rows of a hot key (or of NULL) at
+run time, and nothing is counted before. Elsewhere the rows of every hot key are spread over as many
+salts as they fill tasks, with the dimension's rows of that key repeated once per salt, and rows whose
+key is NULL are spread as well. No row is dropped, so the result is that of a plain join.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ ROWS_PER_TASK = "spark.badgewright.hotKey.rowsPerTask"
 DEFAULT_ROWS_PER_TASK = 4_000_000
 MAX_HOT_KEYS = 100_000
 NULL_KEY_SALTS = 65_536
+EXPAND_BLOCK = 65_536
 
 
 def input_bytes(df: DataFrame) -> int | None:
@@ -29,11 +31,25 @@ def input_bytes(df: DataFrame) -> int | None:
         return None
 
 
+def plan_bytes(df: DataFrame) -> int | None:
+    """Bytes of a DataFrame's own rows as Spark estimates them, None where the session cannot tell."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except AttributeError:
+        return None
+
+
 def fits_broadcast(df: DataFrame) -> bool:
-    """Whether all that a DataFrame reads is within Spark's own broadcast limit."""
+    """Whether all that a DataFrame reads, and what it makes of it, is within Spark's own broadcast limit."""
     limit = _bytes_setting(df.sparkSession, "spark.sql.autoBroadcastJoinThreshold")
-    size = input_bytes(df)
-    return size is not None and size <= limit
+    sizes = (input_bytes(df), plan_bytes(df))
+    return all(size is not None and size <= limit for size in sizes)
+
+
+def skew_is_handled(spark: SparkSession) -> bool:
+    """Whether adaptive execution splits the skewed partitions of every inner and left join."""
+    needed = ("enabled", "skewJoin.enabled", "forceOptimizeSkewedJoin")
+    return all(spark.conf.get(f"spark.sql.adaptive.{name}", "false") == "true" for name in needed)
 
 
 def _bytes_setting(spark: SparkSession, name: str) -> int:
@@ -65,15 +81,12 @@ def enrich(
     how: str = "inner",
     spread: Sequence[str | Column] | None = None,
     count_from: DataFrame | None = None,
-    salts: int | None = None,
 ) -> DataFrame:
     """Join ``fact`` with ``dimension`` on ``key`` ("inner" or "left").
 
     ``spread`` names the fact columns whose hash picks the salt; they should tell
     the rows of one key apart (default: all other columns). ``count_from`` are rows
-    to count the keys in, where they are cheaper to read than ``fact``. ``salts``
-    spreads every key that many ways without counting, for a few keys that all
-    have many rows and a dimension that is small beside them.
+    to count the keys in, where they are cheaper to read than ``fact``.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"enrich joins inner or left, not {how}")
@@ -81,17 +94,9 @@ def enrich(
         return fact.join(F.broadcast(dimension), key, how)
 
     spread = spread or [c for c in fact.columns if c != key]
-    if not spread:
-        # Keys alone cannot be told apart: adaptive execution splits what is skewed.
+    if skew_is_handled(fact.sparkSession) or not spread:
         return fact.join(dimension, key, how)
     row_hash = F.xxhash64(*spread)
-    if salts is not None:
-        every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-        return (
-            fact.withColumn("_salt", F.pmod(row_hash, F.lit(salts)).cast("int"))
-            .join(dimension.withColumn("_salt", every_salt), [key, "_salt"], how)
-            .drop("_salt")
-        )
 
     hot = hot_keys(fact if count_from is None else count_from, key)
     salts_of_key = F.coalesce("_salts", F.lit(1))
@@ -113,23 +118,25 @@ def join_many(one: DataFrame, many: DataFrame, key: str) -> DataFrame:
     """Left join of a table of unique keys with one that may have most of its rows in one key.
 
     A left join cannot split its right side, so the matches are found from the
-    side that has many rows, and the rows without a match are added.
+    side that has many rows, and the rows without a match are added. Equal rows are counted
+    before the join and made again after it in blocks over all tasks, so that a key whose rows are all
+    equal is no hot spot either.
     """
     if fits_broadcast(many):
         return one.join(F.broadcast(many), key, "left")
-    matched = enrich(many, one, key)
+    columns = [c for c in many.columns if c != key]
+    counted = many.where(F.col(key).isNotNull()).groupBy(*many.columns).agg(F.count(F.lit(1)).alias("_times"))
+    matched = enrich(counted, one, key, spread=columns)
+    starts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_times") - 1, F.lit(EXPAND_BLOCK).cast("bigint")))
+    blocks = matched.withColumn("_block", starts).repartition(*many.columns, "_block")
+    last = F.least(F.col("_block") + EXPAND_BLOCK, F.col("_times")) - 1
+    rows = blocks.withColumn("_row", F.explode(F.sequence("_block", last))).drop("_times", "_block", "_row")
     missing = one.join(many.select(key).distinct(), key, "left_anti")
-    return matched.unionByName(missing, allowMissingColumns=True).select(
+    return rows.unionByName(missing, allowMissingColumns=True).select(
         key, *[c for c in (*one.columns, *many.columns) if c != key]
     )
 
 
-def count_before_join(rows: DataFrame, *dimensions: DataFrame) -> DataFrame:
-    """Rows with a ``count``, equal rows put together if a join is going to shuffle them.
-
-    Where every dimension is broadcast the rows are not shuffled before the
-    report's own aggregation, which then is the one that counts them.
-    """
-    if all(fits_broadcast(d) for d in dimensions):
-        return rows.withColumn("count", F.lit(1).cast("bigint"))
+def counted_rows(rows: DataFrame) -> DataFrame:
+    """Equal rows put together, with their ``count``: the grain of every fact, whatever joins follow."""
     return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("count"))

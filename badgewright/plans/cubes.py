@@ -26,14 +26,10 @@ from badgewright.functions.labels import (
     weekly_label,
 )
 from badgewright.functions.regions import date_of_micros, hour_of_micros, local_micros, os_name, region_name
-from badgewright.operators.joins import count_before_join, enrich, join_many
+from badgewright.operators.joins import counted_rows, enrich, join_many
 from badgewright.sources.lookups import postal_district, with_province
 
 
-# Customers per value of minutes are spread this many ways: the values are few, the customers many.
-MINUTE_SALTS = 128
-
-
 def translated(translation: DataFrame, language: str = "en") -> DataFrame:
     """Badge texts of one language: (award_id, label)."""
     return translation.where(F.col("language_code") == language).select(
@@ -110,7 +106,8 @@ def badge_cube_with_answers(
     counted = badges_per_day(customer_award, award, translation, badge=["label"])
     given = given_answers(answer)
     answers = given.groupBy(*given.columns).agg(F.count(F.lit(1)).alias("times"))
-    people = customer_labels(customer).drop("user_selected_level").join(answers, "appuser_id", "left")
+    people = customer_labels(customer).drop("user_selected_level")
+    people = enrich(people, answers, "appuser_id", "left", spread=["customer_id"])
     cube = enrich(counted, people, "customer_id", count_from=customer_award)
     times = F.coalesce("times", F.lit(1))
     return with_calendar(cube.withColumn("count", F.col("count") * times).drop("times"))
@@ -148,20 +145,60 @@ def milestone_codes(award: DataFrame, translation: DataFrame) -> DataFrame:
     return codes.join(milestones(translation), "award_id").select("award_code", "minutes").distinct()
 
 
+def best_minutes(customer_award: DataFrame, translation: DataFrame) -> DataFrame:
+    """The most minutes of a milestone each customer earned: (customer_id, minutes)."""
+    earned = customer_award.select("_uid", "customer_id", "award_id")
+    reached = enrich(earned, milestones(translation), "award_id", spread=["_uid"])
+    return reached.groupBy("customer_id").agg(F.max("minutes").alias("minutes"))
+
+
+def cube_times(customer_award: DataFrame, award: DataFrame, translation: DataFrame) -> DataFrame:
+    """How often a customer's rows stand in the badge cube: (customer_id, times), once per code of the top milestone."""
+    codes = milestone_codes(award, translation).groupBy("minutes").agg(F.count(F.lit(1)).alias("times"))
+    return enrich(best_minutes(customer_award, translation), codes, "minutes").select("customer_id", "times")
+
+
+def badge_cube_sums(
+    customer_award: DataFrame, award: DataFrame, translation: DataFrame, customer: DataFrame
+) -> DataFrame:
+    """The badge cube without award codes and dimensions: customer_id, label, date, count.
+
+    The codes that stand for a customer's top milestone multiply the counts; no row is multiplied.
+    """
+    people = enrich(customer.select(F.col("_uid").alias("customer_id")), cube_times(customer_award, award, translation), "customer_id")
+    counted = badges_per_day(customer_award, award, translation, badge=["label"])
+    counted = counted.groupBy("customer_id", "label", "date").agg(F.sum("count").alias("count"))
+    sums = enrich(counted, people, "customer_id", count_from=customer_award)
+    return sums.select("customer_id", "label", "date", (F.col("count") * F.col("times")).alias("count"))
+
+
+def badge_provinces(
+    customer_award: DataFrame, award: DataFrame, translation: DataFrame, customer: DataFrame
+) -> DataFrame:
+    """Rows and badges of the reported cube per province, label and quarter, the customers' provinces looked up once."""
+    times = cube_times(customer_award, award, translation)
+    people = customer.select(F.col("_uid").alias("customer_id"), postal_initial("postal_code").alias("province_postcode"))
+    people = enrich(people, times, "customer_id")
+    days = badges_per_day(customer_award, award, translation)
+    per_quarter = days.groupBy("customer_id", "label", quarter_label("date").alias("quarter")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("count").alias("count")
+    )
+    cube = enrich(per_quarter, people, "customer_id", count_from=customer_award)
+    sums = cube.groupBy("province_postcode", weekly_label("label").alias("label"), "quarter").agg(
+        F.sum(F.col("n_rows") * F.col("times")).alias("n_rows"), F.sum(F.col("count") * F.col("times")).alias("count")
+    )
+    return with_province(sums)
+
+
 def milestone_top(customer_award: DataFrame, award: DataFrame, translation: DataFrame) -> DataFrame:
     """The highest milestone of each customer, as award code.
 
     A customer appears once for every code that stands for the same minutes, and
     not at all without a milestone.
     """
-    earned = customer_award.select("_uid", "customer_id", "award_id")
-    best = (
-        enrich(earned, milestones(translation), "award_id", spread=["_uid"])
-        .groupBy("customer_id")
-        .agg(F.max("minutes").alias("minutes"))
-    )
+    best = best_minutes(customer_award, translation)
     codes = milestone_codes(award, translation).withColumnRenamed("award_code", "max_award_code")
-    return enrich(best, codes, "minutes", salts=MINUTE_SALTS).select("customer_id", "max_award_code")
+    return enrich(best, codes, "minutes").select("customer_id", "max_award_code")
 
 
 def translated_except(
@@ -270,15 +307,13 @@ def reward_cube(
     (the calendar labels come with the date).
     """
     cycles, awards = reward_sides(cycle_instance, cycle, customer_award, award, customer, translation, columns)
-    counted = count_before_join(
+    counted = counted_rows(
         ballot.select(
             "customer_award_id",
             "reward_cycle_instance_id",
             date_of("created_at").alias("date"),
             reward_day_part(F.hour("created_at")).alias("hour"),
-        ),
-        cycles,
-        awards,
+        )
     )
     fact = enrich(counted, cycles, "reward_cycle_instance_id", "left", count_from=ballot)
     fact = enrich(fact, awards, "customer_award_id", "left", count_from=ballot)

@@ -10,6 +10,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Also where the aggregation after a join then needs a shuffle of its own.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Day and hour of a timestamp column are those of UTC.
     "spark.sql.session.timeZone": "UTC",
     # Building a plan does not record the Python line of every column.

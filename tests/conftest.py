@@ -45,5 +45,9 @@ def settings(spark):
 
 @pytest.fixture
 def no_broadcast(settings):
-    """Make every dimension count as large, and a key with more than 20 rows as hot."""
-    settings(spark__sql__autoBroadcastJoinThreshold="-1", spark__badgewright__hotKey__rowsPerTask="20")
+    """Make every dimension count as large, a key with more than 20 rows as hot, and leave hot keys to salts."""
+    settings(
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__skewJoin__enabled="false",
+        spark__badgewright__hotKey__rowsPerTask="20",
+    )

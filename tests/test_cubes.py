@@ -199,7 +199,7 @@ def test_rewards_reports(rewards):
         ("Opened App", "grand", 1),
     ]
     pivot = reports.rewards_pivot(cube, labels, ["daily", "grand", "<NA>"], "2019-02-01", "2019-03-31")
-    assert tuples(pivot) == [("90 Minutes milestone", 2, None, 1), ("Opened App", None, 1, None)]
+    assert tuples(pivot) == [("90 Minutes milestone", 2, None, 1, None), ("Opened App", None, 1, None, None)]
 
 
 EVENT = """user_pseudo_id string, event_date date, event_timestamp long, event_name string,

@@ -4,7 +4,7 @@ import pytest
 from helpers import plan, tuples
 from pyspark.sql import functions as F
 
-from badgewright.operators.joins import count_before_join, enrich, fits_broadcast, hot_keys, join_many
+from badgewright.operators.joins import counted_rows, enrich, fits_broadcast, hot_keys, join_many
 
 
 @pytest.fixture
@@ -29,7 +29,21 @@ def test_salted_join_equals_plain_join(spark, no_broadcast, fact, dimension, how
     assert Counter(tuples(salted)) == plain
     assert salted.columns == ["key", "id", "name"]
     assert Counter(tuples(enrich(fact, dimension, "key", how, spread=["id"], count_from=fact))) == plain
-    assert Counter(tuples(enrich(fact, dimension, "key", how, salts=7))) == plain
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_adaptive_execution_splits_a_hot_key_without_counting(spark, settings, fact, dimension, how):
+    settings(
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="1k",
+        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="1k",
+        spark__sql__adaptive__skewJoin__skewedPartitionFactor="1.1",
+    )
+    many = fact.repartition(20).unionByName(fact.repartition(20)).withColumn("pad", F.repeat(F.uuid(), 20))
+    joined = enrich(many, dimension, "key", how)
+    assert "_salt" not in plan(joined)
+    per_task = joined.where("key = 1").groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in per_task) == 800 and len(per_task) > 1
 
 
 def test_left_join_with_many_rows_in_one_key(spark, settings, fact):
@@ -37,7 +51,11 @@ def test_left_join_with_many_rows_in_one_key(spark, settings, fact):
     many = fact.where("key is null or key < 50")
     plain = Counter(tuples(one.join(many, "key", "left")))
     assert Counter(tuples(join_many(one, many, "key"))) == plain
-    settings(spark__sql__autoBroadcastJoinThreshold="-1", spark__badgewright__hotKey__rowsPerTask="20")
+    settings(
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__skewJoin__enabled="false",
+        spark__badgewright__hotKey__rowsPerTask="20",
+    )
     salted = join_many(one, many, "key")
     assert salted.columns == ["key", "name", "id"] and "_salt" in plan(salted)
     assert Counter(tuples(salted)) == plain
@@ -92,11 +110,28 @@ def test_fact_of_keys_alone(spark, no_broadcast, fact, dimension):
     assert enrich(keys, dimension, "key").count() == fact.join(dimension, "key").count()
 
 
-def test_equal_rows_are_counted_before_a_shuffle(spark, settings, dimension, tmp_path):
+def test_equal_rows_are_counted_at_every_size(spark, settings):
     rows = spark.sql("SELECT explode(array(1, 1, 2)) AS k")
-    path = str(tmp_path / "dimension")
-    dimension.write.parquet(path)
+    for limit in ("10m", "-1"):
+        settings(spark__sql__autoBroadcastJoinThreshold=limit)
+        assert sorted(tuples(counted_rows(rows))) == [(1, 2), (2, 1)]
+
+
+def test_what_a_join_multiplies_is_not_broadcast(spark, tmp_path, settings):
+    path = str(tmp_path / "small")
+    spark.range(200).selectExpr("id % 2 AS key", "repeat('x', 50) AS text").write.parquet(path)
     small = spark.read.parquet(path)
-    assert sorted(tuples(count_before_join(rows, small))) == [(1, 1), (1, 1), (2, 1)]
-    settings(spark__sql__autoBroadcastJoinThreshold="-1")
-    assert sorted(tuples(count_before_join(rows, small))) == [(1, 2), (2, 1)]
+    grown = small.join(small.withColumnRenamed("text", "other"), "key")
+    settings(spark__sql__autoBroadcastJoinThreshold="20k")
+    assert fits_broadcast(small) and not fits_broadcast(grown)
+
+
+def test_equal_rows_of_one_key_are_spread(spark, no_broadcast, settings):
+    """One user gave almost all answers, all of them equal."""
+    settings(spark__sql__adaptive__enabled="false")
+    one = spark.createDataFrame([(1, "a"), (2, "b")], "key bigint, name string")
+    many = spark.range(400_000).selectExpr("1L AS key", "'same' AS answer")
+    joined = join_many(one, many, "key")
+    per_task = joined.where("key = 1").groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in per_task) == 400_000 and len(per_task) > 1
+    assert tuples(joined.where("key = 2")) == [(2, "b", None)]

@@ -94,8 +94,16 @@ def test_running_shares(spark):
 def test_pivot_keeps_absent_pairs_null_and_names_the_null_column(spark):
     df = spark.createDataFrame([("a", "x", 2), ("a", None, 1), ("b", "y", 5)], "label string, c string, n long")
     got = pivot_sum(df, "label", "c", ["x", "y", "<NA>"]).orderBy("label")
-    assert got.columns == ["label", "x", "y", "<NA>"]
-    assert tuples(got) == [("a", 2, None, 1), ("b", None, 5, None)]
+    assert got.columns == ["label", "x", "y", "<NA>", "<other>"]
+    assert tuples(got) == [("a", 2, None, 1, None), ("b", None, 5, None, None)]
+
+
+def test_pivot_keeps_values_that_are_not_listed(spark):
+    rows = [("a", "x", 2), ("a", "z", 3), ("a", "w", 4), ("b", "z", 1), ("b", None, 7)]
+    df = spark.createDataFrame(rows, "label string, c string, n long")
+    got = pivot_sum(df, "label", "c", ["x", "y"]).orderBy("label")
+    assert got.columns == ["label", "x", "y", "<NA>", "<other>"]
+    assert tuples(got) == [("a", 2, None, None, 7), ("b", None, None, 7, 1)]
 
 
 def test_measures_count_a_customer_once_per_group(spark):

@@ -30,6 +30,47 @@ def test_csv_round_trip(spark, tmp_path):
     assert sorted(tuples(files.read_csv(spark, path, df.schema))) == [(1, 'a,"b"', 0.1), (2, None, None)]
 
 
+AWKWARD = [
+    (1, 'a "quoted" b', " outer spaces "),
+    (2, "back\\slash\\", '"'),
+    (3, "", None),
+    (4, None, ""),
+    (5, "comma, \ttab", "'single'"),
+    (6, "\\\"", " "),
+]
+
+
+def test_csv_keeps_awkward_texts(spark, tmp_path):
+    df = spark.createDataFrame(AWKWARD, "id int, a string, b string")
+    path = str(tmp_path / "out")
+    files.write_csv(df, path)
+    assert sorted(tuples(files.read_csv(spark, path, df.schema)), key=lambda r: r[0]) == AWKWARD
+
+
+def test_csv_line_breaks(spark, tmp_path):
+    rows = [*AWKWARD, (7, "two\nlines", "\r\nx\r")]
+    df = spark.createDataFrame(rows, "id int, a string, b string")
+    path = str(tmp_path / "out")
+    files.write_csv(df, path, multi_line=True)
+    assert sorted(tuples(files.read_csv(spark, path, df.schema, multi_line=True)), key=lambda r: r[0]) == rows
+    with pytest.raises(Exception, match="multi_line"):
+        files.write_csv(df, str(tmp_path / "refused"))
+
+
+def test_csv_of_others(spark, tmp_path):
+    path = tmp_path / "table.csv"
+    path.write_text('"","code","n"\n"1","a ""quoted"" b",2\n"2",,\n"3","",4\n')
+    got = files.read_csv(spark, str(path), "code string, n int", row_names=True)
+    assert tuples(got) == [('a "quoted" b', 2), (None, None), ("", 4)]
+
+
+def test_malformed_csv_value_is_an_error(spark, tmp_path):
+    path = tmp_path / "table.csv"
+    path.write_text("code,n\na,1\nb,two\n")
+    with pytest.raises(Exception, match="two|MALFORMED"):
+        files.read_csv(spark, str(path), "code string, n int").collect()
+
+
 def test_event_shards_are_pruned(spark, tmp_path):
     path = str(tmp_path / "events")
     events = spark.range(100).selectExpr("id", "date_add(DATE'2019-02-25', cast(id % 10 AS int)) AS event_date")
@@ -54,14 +95,22 @@ class Session:
 
     def __init__(self, **conf):
         self.conf = self
-        self.get = lambda name, default: conf.get(name, default)
+        self.get = lambda name, default=None: conf.get(name, default)
 
 
 def test_scratch_lies_in_the_shared_folder(tmp_path):
     shared = Session(**{"spark.checkpoint.dir": "hdfs://shared/checkpoints/"})
     first, second = (files.scratch_path(shared, "x") for _ in range(2))
     assert first != second and first.startswith("hdfs://shared/checkpoints/x-")
-    assert files.scratch_path(Session(), "x").startswith(tempfile.gettempdir())
+    for master in ("local", "local[8]", "local[*]"):
+        local = Session(**{"spark.master": master})
+        assert files.scratch_path(local, "x").startswith(tempfile.gettempdir())
+
+
+@pytest.mark.parametrize("master", ["yarn", "spark://host:7077", "k8s://host", "local-cluster[2,1,1024]", ""])
+def test_no_scratch_folder_of_one_machine_on_a_cluster(master):
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        files.scratch_path(Session(**{"spark.master": master}), "x")
 
 
 def test_materialised_table_does_not_read_its_source(spark, tmp_path):
