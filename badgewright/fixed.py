@@ -101,6 +101,14 @@ LEVEL_BADGES = [
 ]
 WEEKLY_REWARD_BADGES = ["Weekly Challenge Completed", "2-Week Streak", "4-Week Streak"]
 
+# The label lists by report.
+BADGE_REPORTS = {
+    "activity": ACTIVITY_BADGES,
+    "engagement": ENGAGEMENT_BADGES,
+    "level": LEVEL_BADGES,
+    "weekly_reward": WEEKLY_REWARD_BADGES,
+}
+
 # Period label and code.
 PERIODS = {
     "This Year": "y",

@@ -7,13 +7,14 @@ of ``functions.periods.period``). ``filters`` are dimension filters.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from badgewright.fixed import DAY_PARTS
+from badgewright.fixed import BADGE_REPORTS, DAY_PARTS
 from badgewright.functions.numbers import percent_diff, percent_of
+from badgewright.functions.periods import period
 from badgewright.operators.aggregates import (
     customers_per_count,
     dense_distribution,
@@ -36,6 +37,23 @@ def in_window(fact: DataFrame, first: Day, last: Day, filters: Filters = None) -
     return dim_filter(date_range(fact, first, last), filters)
 
 
+def for_period(
+    report: Callable[..., DataFrame],
+    fact: DataFrame,
+    code: str,
+    labels: str | Sequence[str] | None = None,
+    as_of: Column | None = None,
+    **options,
+) -> DataFrame:
+    """Any windowed report for a period code (``functions.periods``), such as the last 90 days or this quarter.
+
+    ``labels`` is a list, the name of one in ``BADGE_REPORTS``, or left out for reports that take none.
+    """
+    window = period(code, as_of)
+    given = () if labels is None else (BADGE_REPORTS[labels] if isinstance(labels, str) else labels,)
+    return report(fact, *given, first=window.start, last=window.end, **options)
+
+
 def badge_summary(
     fact: DataFrame,
     labels: Sequence[str],
