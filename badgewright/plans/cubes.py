@@ -64,8 +64,9 @@ def badges_per_day(
     award: DataFrame,
     translation: DataFrame,
     badge: Sequence[str] = ("award_code", "label"),
+    parts: bool = True,
 ) -> DataFrame:
-    """Badges counted per customer, badge (the columns of ``badge``), day and day part."""
+    """Badges counted per customer, badge (the columns of ``badge``), day and (if wanted) day part."""
     earned = customer_award.select(
         "_uid",
         "customer_id",
@@ -74,7 +75,7 @@ def badges_per_day(
         badge_day_part(F.hour("created_at")).alias("hour"),
     )
     named = enrich(earned, badges(award, translation), "award_id", spread=["_uid"])
-    return named.groupBy("customer_id", *badge, "date", "hour").agg(F.count("label").alias("count"))
+    return named.groupBy("customer_id", *badge, "date", *["hour"] * parts).agg(F.count("label").alias("count"))
 
 
 def badge_cube(
@@ -166,8 +167,7 @@ def badge_cube_sums(
     The codes that stand for a customer's top milestone multiply the counts; no row is multiplied.
     """
     people = enrich(customer.select(F.col("_uid").alias("customer_id")), cube_times(customer_award, award, translation), "customer_id")
-    counted = badges_per_day(customer_award, award, translation, badge=["label"])
-    counted = counted.groupBy("customer_id", "label", "date").agg(F.sum("count").alias("count"))
+    counted = badges_per_day(customer_award, award, translation, badge=["label"], parts=False)
     sums = enrich(counted, people, "customer_id", count_from=customer_award)
     return sums.select("customer_id", "label", "date", (F.col("count") * F.col("times")).alias("count"))
 
@@ -180,12 +180,10 @@ def badge_provinces(
     people = customer.select(F.col("_uid").alias("customer_id"), postal_initial("postal_code").alias("province_postcode"))
     people = enrich(people, times, "customer_id")
     days = badges_per_day(customer_award, award, translation)
-    per_quarter = days.groupBy("customer_id", "label", quarter_label("date").alias("quarter")).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum("count").alias("count")
-    )
-    cube = enrich(per_quarter, people, "customer_id", count_from=customer_award)
-    sums = cube.groupBy("province_postcode", weekly_label("label").alias("label"), "quarter").agg(
-        F.sum(F.col("n_rows") * F.col("times")).alias("n_rows"), F.sum(F.col("count") * F.col("times")).alias("count")
+    cube = enrich(days, people, "customer_id", count_from=customer_award)
+    labels = weekly_label("label").alias("label"), quarter_label("date").alias("quarter")
+    sums = cube.groupBy("province_postcode", *labels).agg(
+        F.sum("times").alias("n_rows"), F.sum(F.col("count") * F.col("times")).alias("count")
     )
     return with_province(sums)
 
