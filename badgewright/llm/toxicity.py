@@ -9,8 +9,9 @@
    it targeted; a verb of harm with a person near it is a threat; a negation shortly before takes
    it back; a report marks what follows as quoted. What comes out are kinds of matches, which the scoring
    transducer gives their weights.
-3. The weights of the kinds are learned by logistic regression on the labelled sample, and a document's score is
-   the probability for the weights of its clauses together. Only clauses that hold an insult or a verb of harm are
+3. The weights of the kinds are learned by logistic regression on the labelled sample. Composed with the grammar they
+   make a transducer that gives every clause its weight, and a document's score is the probability for its clauses'
+   weights together. Only clauses that hold an insult or a verb of harm are
    rewritten, so most text is read once.
 
 What is collected is bounded: at most ``SAMPLE`` labelled texts are counted, at most
@@ -136,7 +137,11 @@ def grammar() -> Transducer:
 
 def weighted(matches: Transducer, weights: np.ndarray) -> Transducer:
     """The grammar with a weight for each kind of match. Harm without a person near is no threat."""
-    return matches.then(Transducer.of(1, SYMBOLS, lambda q, x: (0, x, float(weights[x - MATCH]) if x >= MATCH else 0.0)))
+
+    def weigh(_: int, x: int) -> tuple[int, int, float]:
+        return 0, x, float(weights[x - MATCH]) if x >= MATCH and not harmless(x - MATCH) else 0.0
+
+    return matches.then(Transducer.of(1, SYMBOLS, weigh))
 
 
 def harmless(kind: int) -> bool:
@@ -199,11 +204,6 @@ def match_counts(texts: list[str], lexicon: Lexicon, matches: Transducer) -> np.
     return counts
 
 
-def features(counts: np.ndarray) -> np.ndarray:
-    """Damped counts: the first match says more than the tenth."""
-    return np.log1p(counts)
-
-
 def _count_terms(schema: pa.Schema):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean = Counter(), Counter()
@@ -254,8 +254,10 @@ class Model:
     weights: np.ndarray
     base: float
 
-    def scores(self, texts: list[str], matches: Transducer) -> np.ndarray:
-        return sigmoid(features(match_counts(texts, self.lexicon, matches)) @ self.weights + self.base)
+    def scores(self, texts: list[str], clause_weights: Transducer) -> np.ndarray:
+        """Probabilities, with the transducer that gives clauses their weights (``weighted``)."""
+        sums = [sum(clause_weights.run(s)[1] for s in self.lexicon.clauses(text)) for text in texts]
+        return sigmoid(np.array(sums, dtype=float) + self.base)
 
 
 def _count_matches(lexicon: Lexicon, schema: pa.Schema):
@@ -281,7 +283,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE) -> Mode
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Model(lexicon, np.zeros(32), float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-    x = features(np.array([row["counts"] for row in rows]))
+    x = np.array([row["counts"] for row in rows])
     # Matches only ever add to a score: a kind seen too rarely to be weighed gets the mean weight of its class.
     fitted = logistic(np.hstack([x, x.sum(axis=1, keepdims=True)]), y, penalty=0.1)
     return Model(lexicon, np.maximum(fitted[:-2] + fitted[-2], 0.0), float(fitted[-1]))
@@ -289,9 +291,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE) -> Mode
 
 def _score(model: Model, schema: pa.Schema):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matches = grammar()
+        clause_weights = weighted(grammar(), model.weights)
         for batch in slices(batches):
-            scores = model.scores(batch.column("text").to_pylist(), matches)
+            scores = model.scores(batch.column("text").to_pylist(), clause_weights)
             given = [batch.column(f.name) for f in schema if f.name != "score"]
             yield record_batch([*given, scores], schema)
 
