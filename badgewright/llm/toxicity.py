@@ -39,7 +39,9 @@ from badgewright.llm.shared import packed, record_batch, slices
 
 SAMPLE = 20_000
 TERMS = 500
-LEAST_DOCS = 3
+# A term must occur in so many toxic documents, and in this share of them: rare words stand in a few by chance.
+LEAST_DOCS = 5
+LEAST_SHARE = 0.004
 LEAST_ODDS = 20.0
 HEAD = 4
 REACH = 3
@@ -231,6 +233,7 @@ def learn_lexicon(sample: DataFrame, terms: int = TERMS, least_docs: int = LEAST
     whole = counted.where(F.octet_length("term") == 0).select(F.struct("toxic", "clean")).scalar()
     rate, base = (F.col("toxic") / whole["toxic"]), ((F.col("clean") + 0.5) / whole["clean"])
     telling = counted.where((F.octet_length("term") > 0) & (F.col("toxic") >= least_docs) & (rate >= least_odds * base))
+    telling = telling.where(rate >= LEAST_SHARE)
     telling = telling.where(F.col("toxic") >= 5 * F.col("clean"))
     best = telling.orderBy(F.desc("toxic"), F.octet_length("term"), "term").limit(8 * terms).collect()
     words: set[bytes] = set()
