@@ -33,8 +33,6 @@ _TO_WORDS = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
 
-FOUND = "n_words bigint, n_hit bigint, spans array<int>, items array<string>"
-
 
 def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TO_WORDS).split()
