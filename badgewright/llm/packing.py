@@ -166,7 +166,8 @@ def pack_pieces(cut: DataFrame, size: int = SEQUENCE) -> DataFrame:
     slots = Slots.of(shortest_pack_first({row["length"]: row["n"] for row in histogram}, size))
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    ranked = cut.join(before, ["part", "length"]).withColumn("rank", F.col("before") + F.col("number"))
+    # The table of counts grows with the tasks, and is small as a file beside what it is in memory: no broadcast.
+    ranked = cut.join(before.hint("merge"), ["part", "length"]).withColumn("rank", F.col("before") + F.col("number"))
     keep = [f for f in cut.schema if f.name not in ("part", "number")]
     ranked = ranked.select(*[f.name for f in keep], "rank")
     schema = StructType(keep + StructType.fromDDL("sequence_id bigint, offset bigint").fields)
