@@ -9,8 +9,10 @@ language by the Jensen-Shannon distance. The references are counted over all doc
    and there are at most 2 / COMMON candidates per language.
 2. The candidates and the character classes are counted exactly.
 3. Every document gets the base counts, the language whose words are nearest, and its two distances.
-   Short documents are told by the base rules alone: their histograms say little. What a
-   histogram of n words with k bins differs by chance falls as k / n, and is allowed for.
+   Short documents are told by the base rules alone: their histograms say little. The limit of the word
+   distance follows from the reference: squared, it lies between what n words drawn from the
+   reference differ from it by chance, and what a text without any common word differs at every length. So a
+   text that lacks a language's common words is rejected at any size.
 
 Languages with under a thousandth of all words get no reference, so there are at most a thousand.
 Without any reference only the base rules hold.
@@ -37,7 +39,11 @@ LEAST_LANGUAGE = 1 / 1000
 MIN_WORDS = 60
 MIN_CHARACTERS = 200
 MAX_CHARACTER_DISTANCE = 0.25
-MAX_WORD_DISTANCE = 0.60
+# Where the squared word limit lies between a text of the language (0) and one without common words (1).
+WORD_LIMIT = 0.4
+# Where common words make less of a language than this, texts may well have none: then only a pile-up is told.
+LEAST_COVER = 0.1
+PILE_UP = 0.60
 WINDOW = 8
 
 # Character classes: lower case, upper case, digits, white space, sentence marks, other ASCII, the rest.
@@ -121,6 +127,43 @@ def distances(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a + b) / 2, 0.0))
 
 
+KNOTS = 16
+
+
+def chance_squares(reference: np.ndarray) -> np.ndarray:
+    """Expected squared distance of 1, 2, 4, ... words drawn from a reference."""
+    shares = reference[reference > 0]
+    knots = 2 ** np.arange(KNOTS)
+    log_factorial = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, knots[-1] + 1)))])
+    expected = np.zeros(len(knots))
+    for k, n in enumerate(knots):
+        for r in shares:
+            if r == 1:
+                continue
+            spread = 8 * np.sqrt(n * r * (1 - r)) + 20
+            x = np.arange(max(0, int(n * r - spread)), min(n, int(n * r + spread)) + 1)
+            log_p = log_factorial[n] - log_factorial[x] - log_factorial[n - x] + x * np.log(r) + (n - x) * np.log1p(-r)
+            p = x / n
+            middle = (p + r) / 2
+            part = p * np.log2(np.where(p > 0, p, 1.0) / middle) + r * np.log2(r / middle)
+            expected[k] += np.exp(log_p) @ part / 2
+    return expected
+
+
+def word_limits(reference: np.ndarray, expected: np.ndarray, sizes: np.ndarray, limit: float = WORD_LIMIT) -> np.ndarray:
+    """Largest squared distance allowed to texts of so many words, with ``chance_squares`` of the reference.
+
+    Between powers of two chance is interpolated, beyond the last it falls as 1 / n.
+    """
+    none = np.zeros((1, len(reference)))
+    none[0, -1] = 1
+    if reference[:-1][reference[:-1] >= COMMON].sum() < LEAST_COVER:
+        return np.full(len(sizes), PILE_UP**2)
+    at, most = np.log2(np.maximum(sizes, 1)), distances(none, reference)[0] ** 2
+    chance = np.interp(at, np.arange(KNOTS), expected) * np.minimum(1.0, 2.0 ** (KNOTS - 1 - at))
+    return chance + limit * np.maximum(most - chance, 0.0)
+
+
 def _languages(batch: pa.RecordBatch) -> tuple[np.ndarray, list[str | None]]:
     encoded = batch.column("lang").dictionary_encode(null_encoding="encode")
     return encoded.indices.to_numpy(zero_copy_only=False), encoded.dictionary.to_pylist()
@@ -210,7 +253,8 @@ def build_references(docs: DataFrame, common: float = COMMON) -> References:
 
 def _judge(references: References, limits: tuple[float, float, int, int], schema: pa.Schema):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most_class, most_word, min_words, min_characters = limits
+        most_class, word_limit, min_words, min_characters = limits
+        chance = [chance_squares(shares) for shares in references.word_shares]
         for batch in slices(batches):
             texts = batch.column("text")
             words, n = split_words(texts), len(batch)
@@ -231,17 +275,16 @@ def _judge(references: References, limits: tuple[float, float, int, int], schema
             bins, k = word_bins(plain, references.words), len(references.words) + 1
             row = plain.row
             counts = np.bincount(row * k + bins, minlength=n * k).reshape(n, k).astype(np.float64)
-            near, far_class, language = np.full(n, np.inf), np.zeros(n), np.full(n, -1)
+            near, far_class, language, most = np.full(n, np.inf), np.zeros(n), np.full(n, -1), np.zeros(n)
             for number in range(len(references.languages)):
                 distance = distances(counts, references.word_shares[number])
                 better = distance < near
                 near[better], language[better] = distance[better], number
                 by_class = distances(classes.astype(np.float64), references.class_shares[number])
                 far_class[better] = by_class[better]
+                most[better] = word_limits(references.word_shares[number], chance[number], plain.counts[better], word_limit)
             enough = (plain.counts >= min_words) & (classes.sum(axis=1) >= min_characters) & (language >= 0)
-            used = (references.word_shares > 0).sum(axis=1)[np.maximum(language, 0)] if len(references.languages) else 1
-            chance = used / (8 * np.log(2) * np.maximum(plain.counts, 1))
-            apart = enough & ((far_class > most_class) | (near**2 - chance > most_word**2))
+            apart = enough & ((far_class > most_class) | (near**2 > most))
             names = [references.languages[x] if x >= 0 else None for x in language]
             columns = [n_words, word_chars, symbols, dup_lines, repeated, failed, ~failed & ~apart, names]
             given = [batch.column(name) for name in ("doc_id", "row") if name in batch.schema.names]
@@ -257,7 +300,7 @@ def judge_documents(
     text_col: str = "text",
     lang_col: str = "lang",
     max_character_distance: float = MAX_CHARACTER_DISTANCE,
-    max_word_distance: float = MAX_WORD_DISTANCE,
+    word_limit: float = WORD_LIMIT,
     min_words: int = MIN_WORDS,
     min_characters: int = MIN_CHARACTERS,
 ) -> DataFrame:
@@ -273,5 +316,5 @@ def judge_documents(
     )
     references = build_references(state.select("text", "lang"))
     schema = StructType.fromDDL("doc_id bigint, " + SCORES)
-    limits = (max_character_distance, max_word_distance, min_words, min_characters)
+    limits = (max_character_distance, word_limit, min_words, min_characters)
     return state.mapInArrow(_judge(references, limits, to_arrow_schema(schema)), schema)
