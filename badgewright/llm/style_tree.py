@@ -7,11 +7,14 @@
    entropy of their presentations and the entropy of their contents, both as a share of the largest
    possible. Exact copies of a page count once. What is the same on every page of a site is
    unimportant; what differs on every page is important; a style is as important as the larger of its two entropies says.
-3. A few pages say little: an expected importance by tag and class counts as much as ``PRIOR_PAGES`` pages. Where
-   tag or class say that a branch is no main text (navigation, adverts, readers' comments, which differ
-   on every page), its importance is zero.
-4. Branches of low importance are removed from each page, and the text of what is left is
-   returned in blocks. A page with an article or main element is reduced to it first.
+   Inside an article the share of pages without the style's most frequent text says it instead, and pages with the
+   same article count once: what a few values fill is part of the article, what one text fills is not.
+3. One or two pages say little: an expected importance by tag counts as much as ``PRIOR_PAGES`` pages.
+4. Block-level branches of low importance are removed from each page, and the text of what is left is
+   returned in blocks. Inline elements stay with their block. A page with an article or main element is reduced to it first.
+5. Where a tag or a whole class, id or role name says that a branch is no main text (navigation, adverts, readers'
+   comments, which differ on every page), it goes too, unless it holds the page's only article or main element, or most of the
+   text that is not of low importance.
 
 Statistics are sums over (host, style, content); a host with most of the pages is spread over all
 tasks, and pages get the low styles back by a salted join on (host, style).
@@ -36,8 +39,9 @@ from pyspark.sql import functions as F
 from badgewright.llm.shared import record_batch, salted_join, slices, prepare_workers
 from badgewright.sources.files import materialised
 
-PRIOR_PAGES = 64
+PRIOR_PAGES = 4
 LEAST_IMPORTANCE = 0.5
+EXPECTED = 0.75
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -52,11 +56,16 @@ BLOCKS = frozenset(
 # Tags that are never part of the main text, and tags that usually are.
 UNWANTED = frozenset("nav footer aside form button select input script style textarea noscript iframe template svg menu".split())
 WANTED = frozenset("article main".split())
+# These stay unwanted however much text they hold.
+NEVER = UNWANTED - {"form", "aside"}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 UNWANTED_NAMES = frozenset(
     "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies footer header menu "
     "modal nav navbar navigation newsletter notice notices pagination popup promo promotion related share sharing sidebar "
-    "social sponsor sponsored subscribe toolbar widget".split()
+    "social sponsor sponsored subscribe toolbar widget ad-banner ad-container ad-slot comment-list comments-area cookie-banner "
+    "page-footer page-header related-articles related-posts share-buttons side-bar site-footer site-header social-share".split()
 )
+_INSIDE = re.compile(r"^(.*?>(?:article|main)(?:\.[^>]*)?)(?=>|$)")
 # An open element that a start tag ends, and the elements that keep it open.
 _ENDS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dd dt", ("dl",)), "dd": ("dd dt", ("dl",)), "tr": ("tr td th", ("table",))}
 _ENDS |= {"td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
@@ -68,15 +77,36 @@ class Element:
     names: tuple[str, ...] = ()
     path: str = ""
     children: list[Element | str] = field(default_factory=list)
+    whole_names: frozenset[str] = frozenset()
 
     @property
     def prior(self) -> float:
-        """Expected importance of the style."""
-        if self.tag in UNWANTED or any(n in UNWANTED_NAMES for n in self.names):
+        """Expected importance of the style, 0 if it is listed as no main text."""
+        if self.listed:
             return 0.0
-        if self.tag == "header" and not any(f">{tag}" in self.path for tag in WANTED):
-            return 0.0
-        return 1.0 if self.tag in WANTED or self.tag == "body" else 0.75
+        return 1.0 if self.tag in WANTED or self.tag == "body" else EXPECTED
+
+    @property
+    def listed(self) -> bool:
+        """Whether tag or a whole name say that the branch is no main text. A name on an inline element says nothing."""
+        if self.tag in UNWANTED:
+            return True
+        if self.tag not in BLOCKS or self.tag == "main":
+            return False
+        named = self.whole_names & UNWANTED_NAMES
+        if self.tag in HEADINGS or article_of(self.path):
+            return bool(named - {"header"})
+        return bool(named) or self.tag == "header"
+
+    @property
+    def wanted(self) -> bool:
+        return self.tag in WANTED and not self.listed
+
+
+def article_of(path: str) -> str | None:
+    """The path of the outermost article or main element on the way to an element."""
+    match = _INSIDE.match(path)
+    return match[1] if match else None
 
 
 def parse(html: str) -> Element:
@@ -120,7 +150,8 @@ def parse(html: str) -> Element:
         values = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(match[3])]
         names = tuple(sorted({w for _, v in values for w in re.split(r"[\s_-]+", v.lower()) if w}))
         label = ".".join((tag, *names))
-        element = Element(tag, names, f"{stack[-1].path}>{label}")
+        whole_names = frozenset(w for _, v in values for w in v.lower().split())
+        element = Element(tag, names, f"{stack[-1].path}>{label}", whole_names=whole_names)
         stack[-1].children.append(element)
         if tag not in VOID and not match[3].rstrip().endswith("/"):
             stack.append(element)
@@ -137,21 +168,55 @@ def walk(element: Element) -> Iterator[Element]:
         stack += [c for c in reversed(here.children) if isinstance(c, Element)]
 
 
-def content_root(body: Element) -> list[Element]:
-    """The outermost article or main elements, or the body."""
+def wanted_below(top: Element, through: bool) -> list[Element]:
+    """The outermost article or main elements from ``top`` on; ``through``: also in branches listed as no main text."""
     found: list[Element] = []
-    stack = [body]
+    stack = [top]
     while stack:
         here = stack.pop()
-        if here.tag in WANTED and here.prior > 0:
+        if here.wanted:
             found.append(here)
-        elif here.prior > 0:
+        elif through or not here.listed:
             stack += [c for c in reversed(here.children) if isinstance(c, Element)]
-    return found or [body]
+    return found
+
+
+def content_root(body: Element) -> list[Element]:
+    """The outermost article or main elements, or the body."""
+    return wanted_below(body, False) or [body]
+
+
+def main_parts(body: Element, low: frozenset[str] | set[str] = frozenset()) -> tuple[list[Element], set[int]]:
+    """The elements that a page is reduced to, and the ids of the listed branches below them that go."""
+    length: dict[int, int] = {}
+    holds: dict[int, bool] = {}
+    for here in reversed(list(walk(body))):
+        kids = [c for c in here.children if isinstance(c, Element)]
+        own = sum(len(c.strip()) for c in here.children if isinstance(c, str))
+        length[id(here)] = own + sum(length[id(c)] for c in kids) if here.path not in low else 0
+        holds[id(here)] = here.wanted or any(holds[id(c)] for c in kids)
+    roots = content_root(body)
+    if roots[0] is body:
+        inside = wanted_below(body, True)
+        roots = inside if 2 * sum(length[id(x)] for x in inside) > length[id(body)] else [body]
+    total = sum(length[id(x)] for x in roots)
+    gone: set[int] = set()
+    for root in roots:
+        kids = [c for c in root.children if isinstance(c, Element)]
+        only = root.tag != "article" and not any(wanted_below(c, False) for c in kids)
+        stack = kids
+        while stack:
+            here = stack.pop()
+            spared = (only and holds[id(here)]) or (here.tag not in NEVER and 2 * length[id(here)] > total)
+            if here.listed and not spared:
+                gone.add(id(here))
+            else:
+                stack += [c for c in here.children if isinstance(c, Element)]
+    return roots, gone
 
 
-def blocks(roots: list[Element], low: frozenset[str] | set[str]) -> list[str]:
-    """Texts of the blocks under ``roots``, without branches whose style is in ``low``."""
+def blocks(roots: list[Element], low: frozenset[str] | set[str], gone: set[int] | frozenset[int] = frozenset()) -> list[str]:
+    """Texts of the blocks under ``roots``, without branches whose style is in ``low`` and those in ``gone``."""
     out: list[str] = []
     text: list[str] = []
 
@@ -172,7 +237,7 @@ def blocks(roots: list[Element], low: frozenset[str] | set[str]) -> list[str]:
             text.append(here)
         elif here.tag == "br":
             text.append(" ")
-        elif here.path not in low:
+        elif here.path not in low and id(here) not in gone:
             if here.tag in BLOCKS:
                 flush()
                 stack.append(None)
@@ -208,7 +273,7 @@ def styles(body: Element) -> list[tuple[str, float, int, int]]:
     for here in order:
         names, content = here.names[:-1], here.names[-1][1:]
         here.names = names
-        prior, shapes, contents = by_path.setdefault(here.path, (here.prior, [], []))
+        _, shapes, contents = by_path.setdefault(here.path, (here.prior, [], []))
         labels = [c.path.rpartition(">")[2] if isinstance(c, Element) else "#" for c in here.children if not isinstance(c, str) or c.strip()]
         shapes.append(" ".join(a for a, b in zip(labels, [None, *labels], strict=False) if a != b))
         contents.append(content)
@@ -224,9 +289,12 @@ def _survey(schema: pa.Schema):
                 host = host_of(url)
                 found = styles(parse(html))
                 whole = _hash("\0".join(f"{p} {s} {c}" for p, _, s, c in sorted(found)))
+                contents = {p: c for p, _, _, c in found}
                 for path, prior, shape, content in found:
-                    rows.append((page, twin, _hash(f"{host}\0{path}"), path, prior, whole, shape, content))
-            yield record_batch(list(zip(*rows, strict=True)) if rows else [[]] * 8, schema)
+                    article = article_of(path)
+                    same = whole if article is None else contents[article]
+                    rows.append((page, twin, _hash(f"{host}\0{path}"), path, prior, article is not None, same, shape, content))
+            yield record_batch(list(zip(*rows, strict=True)) if rows else [[]] * 9, schema)
 
     return run
 
@@ -236,8 +304,9 @@ def _extract(schema: pa.Schema):
         for batch in slices(batches, "html"):
             texts = []
             for html, low in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist(), strict=True):
-                body = parse(html)
-                texts.append("\n".join(blocks(content_root(body), set(low or ()))))
+                removed = set(low or ())
+                roots, gone = main_parts(parse(html), removed)
+                texts.append("\n".join(blocks(roots, removed, gone)))
             given = [batch.column(f.name) for f in schema if f.name not in ("text", "n_chars")]
             yield record_batch([*given, texts, np.array([len(t) for t in texts])], schema)
 
@@ -245,26 +314,30 @@ def _extract(schema: pa.Schema):
 
 
 def entropy_share(rows: DataFrame, feature: str, name: str) -> DataFrame:
-    """(style, pages, name): entropy of a feature over the pages of a style, as a share of the largest possible."""
+    """(style, pages, name, top): entropy of a feature over the pages of a style, as a share of the largest
+    possible, and the share of its most frequent value."""
     counts = rows.groupBy("style", feature).agg(F.count(F.lit(1)).alias("n"))
-    sums = counts.groupBy("style").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("held"))
+    held = F.sum(F.col("n") * F.log("n")).alias("held")
+    sums = counts.groupBy("style").agg(F.sum("n").alias("pages"), held, (F.max("n") / F.sum("n")).alias("top"))
     most = F.log("pages")
     share = F.when(F.col("pages") > 1, (most - F.col("held") / F.col("pages")) / most).otherwise(F.lit(1.0))
-    return sums.select("style", "pages", share.alias(name))
+    return sums.select("style", "pages", share.alias(name), "top")
 
 
 def style_importance(survey: DataFrame, prior_pages: float = PRIOR_PAGES) -> DataFrame:
     """(style, importance) of every host's styles, from written rows of pages and styles."""
     distinct = survey.groupBy("style", "whole").agg(
-        F.first("prior").alias("prior"), F.first("shape").alias("shape"), F.first("content").alias("content")
+        *[F.first(c).alias(c) for c in ("prior", "inside", "shape", "content")]
     )
     distinct = materialised(distinct, "page-styles")
     shape, content = entropy_share(distinct, "shape", "by_shape"), entropy_share(distinct, "content", "by_content")
-    prior = distinct.groupBy("style").agg(F.max("prior").alias("prior"))
-    both = content.join(shape.drop("pages"), "style").join(prior, "style")
+    prior = distinct.groupBy("style").agg(F.max("prior").alias("prior"), F.max("inside").alias("inside"))
+    both = content.join(shape.drop("pages", "top"), "style").join(prior, "style")
     seen = F.greatest("by_shape", "by_content") * F.col("pages")
-    blended = (seen + F.col("prior") * prior_pages) / (F.col("pages") + prior_pages)
-    return both.select("style", F.when(F.col("prior") > 0, blended).otherwise(F.lit(0.0)).alias("importance"))
+    # Lists are applied page by page: entropy judges a listed style like any other.
+    expected = F.when(F.col("prior") > 0, F.col("prior")).otherwise(EXPECTED)
+    blended = (seen + expected * prior_pages) / (F.col("pages") + prior_pages)
+    return both.select("style", blended.alias("importance"))
 
 
 def extract_text(
@@ -289,7 +362,7 @@ def extract_text(
     key = [F.coalesce("page_id", F.lit(2**63 - 1)).alias("page"), F.xxhash64("url", "html").alias("twin")]
     state = state.select("*", *key)
     schema = StructType.fromDDL(
-        "page bigint, twin bigint, style bigint, path string, prior double, whole bigint, shape bigint, content bigint"
+        "page bigint, twin bigint, style bigint, path string, prior double, inside boolean, whole bigint, shape bigint, content bigint"
     )
     survey = state.select("page", "twin", "url", "html").mapInArrow(_survey(to_arrow_schema(schema)), schema)
     survey = materialised(survey, "site-styles")

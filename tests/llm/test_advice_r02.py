@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from badgewright.llm import divergence
+from badgewright.llm import divergence, style_tree
 from badgewright.llm.shared import raw
 
 SMALL = "/root/testdata/sf0.01"
@@ -38,3 +38,27 @@ def test_divergence_rejects_long_texts_without_common_words(spark):
     labelled = found.join(raw(spark, SMALL, "labels"), "doc_id").where("NOT base_failed")
     share = {r["quality"]: r["kept"] for r in labelled.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
     assert share[1] > 0.99 and share[0] < 0.2
+
+
+def texts_of(spark, pages):
+    table = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(pages)], "page_id bigint, url string, html string")
+    return [r["text"] for r in style_tree.extract_text(table).orderBy("page_id").collect()]
+
+
+def test_style_tree_names_never_cost_the_article(spark):
+    body = "<p>Some long text of the article that nobody else has.</p>"
+    menu = '<div class="menu">Other pages</div>'
+    pages = [
+        f'<div class="layout has-sidebar">{menu}<article><h1 class="article-header">Title</h1>{body}</article></div>',
+        f'<div class="layout sidebar">{menu}<article><h1 class="header">Title</h1>{body}</article></div>',
+        f'<form id="page"><main><h1>Title</h1>{body}</main></form>',
+        f'<div class="widget"><h1>Title</h1>{body}</div>{menu}',
+        f'<article><h1>Title</h1>{body}<div class="comments"><p>Nice!</p></div></article><div class="sidebar"><article>Teaser</article></div>',
+    ]
+    found = texts_of(spark, [(f"http://h{k}.org/", p) for k, p in enumerate(pages)])
+    assert found == ["Title\nSome long text of the article that nobody else has."] * len(pages)
+
+
+def test_style_tree_entropy_decides_on_small_hosts(spark):
+    pages = [f'<div class="top">Welcome to our site</div><div class="text"><p>Page {k} tells story {k}.</p></div>' for k in range(6)]
+    assert texts_of(spark, [("http://small.org/", p) for p in pages]) == [f"Page {k} tells story {k}." for k in range(6)]
