@@ -291,9 +291,10 @@ def _survey(schema: pa.Schema):
                 whole = _hash("\0".join(f"{p} {s} {c}" for p, _, s, c in sorted(found)))
                 contents = {p: c for p, _, _, c in found}
                 for path, prior, shape, content in found:
-                    article = article_of(path)
-                    same = whole if article is None else contents[article]
-                    rows.append((page, twin, _hash(f"{host}\0{path}"), path, prior, article is not None, same, shape, content))
+                    if path.rpartition(">")[2].partition(".")[0] in BLOCKS:
+                        article = article_of(path)
+                        same = whole if article is None else contents[article]
+                        rows.append((page, twin, _hash(f"{host}\0{path}"), path, prior, article is not None, same, shape, content))
             yield record_batch(list(zip(*rows, strict=True)) if rows else [[]] * 9, schema)
 
     return run
@@ -333,7 +334,7 @@ def style_importance(survey: DataFrame, prior_pages: float = PRIOR_PAGES) -> Dat
     shape, content = entropy_share(distinct, "shape", "by_shape"), entropy_share(distinct, "content", "by_content")
     prior = distinct.groupBy("style").agg(F.max("prior").alias("prior"), F.max("inside").alias("inside"))
     both = content.join(shape.drop("pages", "top"), "style").join(prior, "style")
-    seen = F.greatest("by_shape", "by_content") * F.col("pages")
+    seen = F.when(F.col("inside"), 1 - F.col("top")).otherwise(F.greatest("by_shape", "by_content")) * F.col("pages")
     # Lists are applied page by page: entropy judges a listed style like any other.
     expected = F.when(F.col("prior") > 0, F.col("prior")).otherwise(EXPECTED)
     blended = (seen + expected * prior_pages) / (F.col("pages") + prior_pages)

@@ -62,3 +62,10 @@ def test_style_tree_names_never_cost_the_article(spark):
 def test_style_tree_entropy_decides_on_small_hosts(spark):
     pages = [f'<div class="top">Welcome to our site</div><div class="text"><p>Page {k} tells story {k}.</p></div>' for k in range(6)]
     assert texts_of(spark, [("http://small.org/", p) for p in pages]) == [f"Page {k} tells story {k}." for k in range(6)]
+
+
+def test_style_tree_keeps_repeated_markup_of_articles_on_hot_hosts(spark):
+    page = '<article><h2>{h}</h2><p>Text {k} is <em>{e}</em> and <a href="/x">here</a> it goes on.</p><p class="note">Read our terms.</p></article>'
+    pages = [page.format(k=k, h=f"Head {k % 3}", e=f"word{k % 30}") for k in range(900)]
+    found = texts_of(spark, [("http://hot.org/", p) for p in pages])
+    assert found == [f"Head {k % 3}\nText {k} is word{k % 30} and here it goes on." for k in range(900)]
