@@ -215,7 +215,7 @@ def _count_terms(schema: pa.Schema):
                 (toxic if y else clean).update(terms_of(text))
                 n[bool(y)] += 1
         rows = [(b"", n[1], n[0]), *((t, k, clean[t]) for t, k in toxic.items())]
-        rows += [(t, 0, k) for t, k in clean.items() if t not in toxic and k > 1]
+        rows += [(t, 0, k) for t, k in clean.items() if t not in toxic]
         for first in range(0, len(rows), 100_000):
             yield record_batch(list(zip(*rows[first : first + 100_000], strict=True)), schema)
 

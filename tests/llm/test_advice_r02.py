@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from badgewright.llm import divergence, style_tree
+from badgewright.llm import divergence, style_tree, toxicity
 from badgewright.llm.shared import raw
 
 SMALL = "/root/testdata/sf0.01"
@@ -69,3 +69,13 @@ def test_style_tree_keeps_repeated_markup_of_articles_on_hot_hosts(spark):
     pages = [page.format(k=k, h=f"Head {k % 3}", e=f"word{k % 30}") for k in range(900)]
     found = texts_of(spark, [("http://hot.org/", p) for p in pages])
     assert found == [f"Head {k % 3}\nText {k} is word{k % 30} and here it goes on." for k in range(900)]
+
+
+def test_toxicity_lexicon_is_the_same_for_any_partitions(spark):
+    """A neutral word that each task sees once keeps all its clean documents."""
+    rows = [(f"filler{k} words zebra stand here", 0) for k in range(40)]
+    rows += [(f"other{k} words without it", 0) for k in range(960)]
+    rows += [(f"toxic{k} text grumbler zebra", 1) for k in range(8)] + [(f"toxic{k} text grumbler", 1) for k in range(20)]
+    sample = spark.createDataFrame(rows, "text string, y int")
+    one, many = (toxicity.learn_lexicon(sample.repartition(n)) for n in (1, 400))
+    assert one == many and one.kind(b"zebra") == toxicity.OTHER and one.kind(b"grumbler") == toxicity.INSULT
