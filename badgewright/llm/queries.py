@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from badgewright.llm import bagminhash, decontaminate, divergence, lines, packing, quality, style_tree, substrings, token_files, toxicity
+from badgewright.llm import (
+    bagminhash,
+    decontaminate,
+    divergence,
+    lexical,
+    lines,
+    packing,
+    quality,
+    resampling,
+    simhash,
+    style_tree,
+    substrings,
+    token_files,
+    toxicity,
+)
 from badgewright.llm.oracle import ORACLE
 from badgewright.llm.shared import raw
 
@@ -74,3 +88,18 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_report(raw(spark, sf_dir, "documents"))
+
+
+@query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search_report(raw(spark, sf_dir, "documents"), raw(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampling_report(raw(spark, sf_dir, "documents"), raw(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_report(raw(spark, sf_dir, "documents"))

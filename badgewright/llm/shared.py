@@ -74,7 +74,9 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", size: int =
     """Arrow batches cut into runs of rows with at most ``size`` bytes of text, one row at least."""
     for batch in batches:
         index = batch.schema.get_field_index(column)
-        kind = pa.large_string() if pa.types.is_large_string(batch.schema.field(index).type) else pa.string()
+        given = batch.schema.field(index).type
+        as_it_is = pa.types.is_large_string(given) or pa.types.is_binary(given) or pa.types.is_large_binary(given)
+        kind = given if as_it_is else pa.string()
         text = batch.column(index)
         lengths = pc.binary_length(text.cast(kind)).fill_null(0).to_numpy(zero_copy_only=False)
         first, held = 0, 0

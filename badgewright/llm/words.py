@@ -16,6 +16,10 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[32, *range(9, 14)]] = True
+# Lower-cases A-Z and turns every ASCII character but letters and digits into a space.
+ALNUM_LOWER = bytes(
+    b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
+)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

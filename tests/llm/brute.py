@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -154,3 +155,86 @@ def near_classes(docs, threshold: float = 0.8):
                         x, y = sorted((find(a), find(b)))
                         top[y] = x
     return {d: find(d) for d in have}
+
+
+def lower_words(text) -> list[str]:
+    return BENCH_WORD.findall((text or "").translate(UPPER))
+
+
+def search_rows(docs, items, top: int = 50):
+    """(item_id, rank, doc_id, score) of every item's best documents."""
+    terms = [Counter(lower_words(t)) for _, t in docs]
+    sizes = [sum(c.values()) for c in terms]
+    n_docs, n_terms = sum(n > 0 for n in sizes), sum(sizes)
+    df = Counter(t for c in terms for t in c)
+    queries = defaultdict(set)
+    for item_id, text in items:
+        queries[item_id].update(lower_words(text))
+    out = []
+    for item_id, query in queries.items():
+        scored = []
+        for (doc_id, _), own, n in zip(docs, terms, sizes, strict=True):
+            score = 0
+            for t in query & own.keys():
+                w = math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1)))
+                score += w * ((1000000000 * own[t]) // (1000 * own[t] + 20 * (100 - 50 + (50 * n * n_docs) // n_terms)))
+            if score > 0:
+                scored.append((-score, doc_id is None, doc_id or 0, doc_id))
+        out += [(item_id, k, d, -s) for k, (s, _, _, d) in enumerate(sorted(scored)[:top], 1)]
+    return out
+
+
+def resampled_rows(docs, target, buckets: int = 10000, percent: int = 25, least: int = 20):
+    """(doc_id, n_features, weight, score, rank) of every document, in any order."""
+
+    def features(text):
+        w = lower_words(text)
+        return [zlib.crc32(f.encode()) % buckets for f in [*w, *map(" ".join, zip(w, w[1:], strict=False))]]
+
+    found = [features(t) for _, t in docs]
+    s, t = Counter(b for f in found for b in f), Counter(b for x in target for b in features(x))
+    s_all, t_all = s.total(), t.total()
+    gain = {
+        b: math.floor(1000 * math.log(float(t[b] + 1) * float(s_all + buckets) / (float(s[b] + 1) * float(t_all + buckets))))
+        for b in s
+    }
+    rows = []
+    for (doc_id, text), own in zip(docs, found, strict=True):
+        weight = sum(gain[b] for b in own) // len(own) if own else 0
+        h = int(hashlib.sha256(f"7:{'' if doc_id is None else doc_id}".encode()).hexdigest()[:8], 16)
+        score = weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
+        rows.append([doc_id, len(own), weight, score, None, len(lower_words(text)) >= least])
+    fit = sorted((r for r in rows if r[5]), key=lambda r: (-r[3], r[0] is not None, r[0] or 0))
+    for rank, row in enumerate(fit[: len(fit) * percent // 100], 1):
+        row[4] = rank
+    return [tuple(r[:5]) for r in rows]
+
+
+def simhash_rows(docs, distance: int = 3):
+    """(doc_id, fingerprint, component_id) of every row."""
+    import xxhash
+
+    prints = []
+    for _, text in docs:
+        w = WORD.findall((text or "").translate(UPPER))
+        n = min(3, len(w))
+        hashes = [xxhash.xxh64_intdigest(" ".join(w[i : i + n]).encode(), 42) for i in range(len(w) - n + 1)] if w else []
+        prints.append(sum((2 * sum(h >> b & 1 for h in hashes) > len(hashes)) << b for b in range(64)) if hashes else 0)
+    distinct = sorted(set(prints))
+    top = {p: p for p in distinct}
+
+    def find(p):
+        while top[p] != p:
+            p = top[p]
+        return p
+
+    for k, a in enumerate(distinct):
+        for b in distinct[k + 1 :]:
+            if (a ^ b).bit_count() <= distance:
+                x, y = sorted((find(a), find(b)))
+                top[y] = x
+    first = {}
+    for (doc_id, _), p in zip(docs, prints, strict=True):
+        known = first.get(find(p))
+        first[find(p)] = doc_id if known is None else known if doc_id is None else min(known, doc_id)
+    return [(d, f"{p:016x}", first[find(p)]) for (d, _), p in zip(docs, prints, strict=True)]
