@@ -402,4 +402,40 @@ ORACLE: dict[str, str] = {
     + f"""SELECT operating_system, CAST(sum(first_open) AS BIGINT) AS first_open FROM ({FIRST_OPENS})
       GROUP BY operating_system""",
     "csv_roundtrip": "SELECT * FROM customer",
+    "first_opens_refreshed": _with("local")
+    + f"""SELECT CAST(lt AS DATE) AS date, count(*) AS first_open, category, os AS operating_system,
+      {APP_PART.format(o=1, h='hour(lt)')} AS time, region_shown AS region FROM local
+      WHERE event_name = 'first_open' AND country = 'Canada' GROUP BY ALL""",
+    "sketch_summary": _with("chosen")
+    + """SELECT label, CAST(sum(cnt) AS BIGINT) AS total, count(DISTINCT customer_id) AS unique_users
+      FROM chosen GROUP BY label""",
+    "sketch_tiles": _with("oe") + _tiles("oe"),
+    "period_customers": _with("oe")
+    + f""", days AS (SELECT DATE '{q.ORDERS_AS_OF}' AS d), p AS ({_period_sql()})
+      SELECT code, compare,
+        (SELECT count(DISTINCT customer_id) FROM oe WHERE date BETWEEN p.start AND p."end") AS current,
+        (SELECT count(DISTINCT customer_id) FROM oe WHERE date BETWEEN p.cmp_start AND p.cmp_end) AS comparison
+      FROM p""",
+    "running_orders": """SELECT *, CAST(sum(amount) OVER (ORDER BY date, o_orderkey) AS BIGINT) AS running
+      FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date, CAST(floor(o_totalprice) AS BIGINT) AS amount FROM orders)""",
+    "running_customer_shares": _with("oe")
+    + """SELECT customer_id, n, CAST(100 AS DOUBLE) * n / sum(n) OVER () AS share,
+      CAST(100 AS DOUBLE) * sum(n) OVER (ORDER BY n DESC, customer_id) / sum(n) OVER () AS cum_share
+      FROM (SELECT customer_id, count(*) AS n FROM oe GROUP BY 1)""",
+    "order_positions": """SELECT o_orderkey, o_orderstatus, o_totalprice,
+      row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS position FROM orders""",
+    "period_sums_prefix": _with("oe")
+    + f""", days AS (SELECT DATE '{q.ORDERS_AS_OF}' AS d), p AS ({_period_sql()})
+      SELECT code, compare, label,
+        (SELECT count(*) FROM oe WHERE oe.label = l.label AND date BETWEEN p.start AND p."end") AS current,
+        (SELECT count(*) FROM oe WHERE oe.label = l.label AND date BETWEEN p.cmp_start AND p.cmp_end) AS comparison
+      FROM p, (SELECT DISTINCT label FROM oe) l""",
+    "kpi_growth_prefix": _with("oe")
+    + "SELECT label, badges, "
+    + ", ".join(f"badges_{d}, {_growth('badges', f'badges_{d}')} AS growth_{d}" for d in (7, 30, 90))
+    + f" FROM (SELECT label, {_total(q.ORDERS_FIRST, q.ORDERS_LAST)} AS badges, "
+    + ", ".join(f"{_total(q.ORDERS_FIRST, q.ORDERS_LAST, d)} AS badges_{d}" for d in (7, 30, 90))
+    + " FROM oe GROUP BY label)",
+    "page_deep": f"""SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey
+      LIMIT {q.DEEP_PAGE[1]} OFFSET {(q.DEEP_PAGE[0] - 1) * q.DEEP_PAGE[1]}""",
 }

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from badgewright.catalog.adapters import Tables
 from badgewright.functions import dayparts, labels, numbers, regions
-from badgewright.operators import aggregates, display, filters, periods
-from badgewright.plans import cubes, kpis, reports
-from badgewright.sources import files
+from badgewright.operators import aggregates, display, filters, periods, prefix
+from badgewright.plans import cubes, daily, kpis, reports
+from badgewright.sources import files, incremental
 from badgewright.sources.lookups import postal_district
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,8 @@ REWARD_LABELS = ["red widget", "blue bolt", "cold ring", "old bolt", "es red gea
 CYCLES = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST", "<NA>"]
 DIMENSIONS = ["age", "month", "quarter", "gender", "province", "user_selected_level"]
 EVERY_DAY = ("1900-01-01", "2999-12-31")
+SETTLED_TO = "2024-01-28"
+DEEP_PAGE = (30, 40)
 
 QUERIES: dict[str, Query] = {}
 
@@ -336,3 +338,74 @@ def csv_roundtrip(t: Tables) -> DataFrame:
     path = files.scratch_path(t.spark, "customers-csv")
     files.write_csv(customers, path)
     return files.read_csv(t.spark, path, customers.schema)
+
+
+@query
+def first_opens_refreshed(t: Tables) -> DataFrame:
+    """Two loads: half of the intraday events first, then the final shards of three of those days and the rest."""
+    ended, intraday = t.event_shards()
+    parts = cubes.first_open_parts(ended)
+    store = incremental.DayStore(t.spark, files.scratch_path(t.spark, "first-opens"), parts.schema)
+    store.refresh(incremental.settled(ended, intraday.where("event_id % 2 = 0")), cubes.first_open_parts)
+    finished = ended.unionByName(intraday.where(F.col("event_date") < F.lit(SETTLED_TO).cast("date")))
+    store.refresh(incremental.settled(finished, intraday), cubes.first_open_parts)
+    return cubes.first_opens_of_parts(store.read())
+
+
+@query
+def sketch_summary(t: Tables) -> DataFrame:
+    sketches = files.materialised(daily.daily_sketches(t.badge_facts()), "daily-sketches")
+    return daily.sketched_measures(filters.label_in(sketches, LABELS), FIRST, LAST)
+
+
+@query
+def sketch_tiles(t: Tables) -> DataFrame:
+    sketches = files.materialised(daily.daily_sketches(t.order_events()), "daily-sketches")
+    return daily.sketched_tiles(sketches, ORDERS_FIRST, ORDERS_LAST)
+
+
+@query
+def period_customers(t: Tables) -> DataFrame:
+    sketches = files.materialised(daily.daily_sketches(t.order_events()), "daily-sketches")
+    return daily.period_customers(sketches, ORDERS_AS_OF)
+
+
+@query
+def running_orders(t: Tables) -> DataFrame:
+    orders = t.raw("orders").select(
+        "o_orderkey", labels.date_of("o_orderdate").alias("date"), F.floor("o_totalprice").alias("amount")
+    )
+    return prefix.running_sum(orders, ["date", "o_orderkey"], "amount")
+
+
+@query
+def running_customer_shares(t: Tables) -> DataFrame:
+    counts = t.order_events().groupBy("customer_id").agg(F.count(F.lit(1)).alias("n"))
+    running = prefix.running_sum(counts, [F.desc("n"), "customer_id"], "n")
+    whole = counts.agg(F.sum("n")).scalar()
+    return running.select(
+        "customer_id", "n", numbers.percent_of("n", whole).alias("share"), numbers.percent_of("running", whole).alias("cum_share")
+    )
+
+
+@query
+def order_positions(t: Tables) -> DataFrame:
+    orders = t.raw("orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return prefix.positions(orders, [F.desc("o_totalprice"), "o_orderkey"])
+
+
+@query
+def period_sums_prefix(t: Tables) -> DataFrame:
+    return daily.period_sums(files.materialised(daily.cumulative(t.order_events()), "cumulative"), ORDERS_AS_OF)
+
+
+@query
+def kpi_growth_prefix(t: Tables) -> DataFrame:
+    return daily.growth_sums(files.materialised(daily.cumulative(t.order_events()), "cumulative"), ORDERS_FIRST, ORDERS_LAST)
+
+
+@query
+def page_deep(t: Tables) -> DataFrame:
+    orders = t.raw("orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    pages = prefix.write_pages(orders, [F.desc("o_totalprice"), "o_orderkey"], files.scratch_path(t.spark, "pages"))
+    return pages.page(*DEEP_PAGE)

@@ -368,3 +368,26 @@ def first_opens_cube(
         .drop("shard")
         .orderBy("date")
     )
+
+
+def first_open_parts(events: DataFrame, corrected: bool = False, country: str = "Canada") -> DataFrame:
+    """First opens per shard day and the labels of the cube: what a load keeps of a day's shard.
+
+    The local day may lie before the shard's, so one local day can have parts in two shards.
+    """
+    opens = first_open_rows(events, country)
+    local = opens.select("event_date", "device", "geo", local_micros("event_timestamp", "geo.region").alias("local"))
+    return local.groupBy(
+        "event_date",
+        date_of_micros("local").alias("date"),
+        F.col("device.category").alias("category"),
+        os_name("device.operating_system").alias("operating_system"),
+        app_day_part(hour_of_micros("local"), corrected).alias("time"),
+        region_name("geo.region").alias("region"),
+    ).agg(F.count(F.lit(1)).alias("first_open"))
+
+
+def first_opens_of_parts(parts: DataFrame) -> DataFrame:
+    """The cube from the parts of all shard days; a group has one row, whichever shards it comes from."""
+    keys = ["date", "category", "operating_system", "time", "region"]
+    return parts.groupBy(*keys).agg(F.sum("first_open").alias("first_open"))
