@@ -94,7 +94,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialised(df: DataFrame, name: str) -> DataFrame:
-    """Write an expensive result once and go on from the written table."""
+    """Write an expensive result once and go on from the written table. ``discard`` removes it when nothing reads it any more."""
     path = scratch_path(df.sparkSession, name)
     write_snapshot(df, path)
-    return read_snapshot(df.sparkSession, path, df.schema)
+    table = read_snapshot(df.sparkSession, path, df.schema)
+    table._scratch = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialised`` wrote. For those only that no plan still to run reads."""
+    for table in tables:
+        where = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._scratch)
+        where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
