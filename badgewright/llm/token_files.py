@@ -41,6 +41,8 @@ from badgewright.sources.files import materialised, scratch_path
 MAGIC = b"BWTK"
 TRAILER = struct.Struct("<4sHHIQQQ")
 BLOCK_IDS = 4096
+# Ids that one task reads back.
+READ_IDS = 1 << 22
 NULL_ID = -(2**63)
 _DOCS = np.dtype([("doc_id", "<i8"), ("first", "<u8")])
 
@@ -145,12 +147,18 @@ class TokenFile:
         cuts = np.append(self.docs["first"], np.uint64(self.n_ids)).astype(np.int64)[low : high + 1]
         return np.split(self.ids(int(cuts[0]), int(cuts[-1])), cuts[1:-1] - cuts[0])
 
-    def runs(self, max_ids: int = 1 << 20) -> Iterator[tuple[int, int]]:
-        """Runs of documents with at most ``max_ids`` ids together, or of one document."""
-        low, cuts = 0, np.append(self.docs["first"], np.uint64(self.n_ids)).astype(np.int64)
-        while low < len(self.docs):
+    def beginning_in(self, first: int, end: int) -> tuple[int, int]:
+        """The documents whose first id is one of ``first`` to ``end``, the last one not included."""
+        low, high = np.searchsorted(self.docs["first"], np.array([first, end], dtype=np.uint64))
+        return int(low), int(high)
+
+    def runs(self, max_ids: int = 1 << 20, low: int = 0, end: int | None = None) -> Iterator[tuple[int, int]]:
+        """Runs of the documents ``low`` to ``end`` with at most ``max_ids`` ids together, or of one document."""
+        cuts = np.append(self.docs["first"], np.uint64(self.n_ids)).astype(np.int64)
+        end = len(self.docs) if end is None else end
+        while low < end:
             high = max(low + 1, int(np.searchsorted(cuts, cuts[low] + max_ids, "right")) - 1)
-            yield low, min(high, len(self.docs))
+            yield low, min(high, end)
             low = high
 
 
@@ -203,14 +211,15 @@ def write_token_files(
     return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
-def _read_files(folder: str, schema: pa.Schema):
+def _read_ranges(folder: str, max_ids: int, schema: pa.Schema):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
             for row in batch.to_pylist():
                 with store.open_input_file(f"{root}/{row['file']}") as stream:
                     file = TokenFile.open(stream)
-                    for low, high in file.runs():
+                    first, last = file.beginning_in(row["low"], row["low"] + max_ids)
+                    for low, high in file.runs(low=first, end=last):
                         ids = [x.astype("<u4").tobytes() for x in file.documents(low, high)]
                         docs = [None if d == NULL_ID else int(d) for d in file.docs["doc_id"][low:high]]
                         starts = [row["start"] + int(x) for x in file.docs["first"][low:high]]
@@ -221,13 +230,21 @@ def _read_files(folder: str, schema: pa.Schema):
     return run
 
 
-def read_token_files(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
-    """Every document of the files: doc_id, start, n_tokens, ids_crc32, ids (little-endian, 4 bytes each)."""
+def read_token_files(spark: SparkSession, folder: str, files: DataFrame, max_ids: int = READ_IDS) -> DataFrame:
+    """Every document of the files: doc_id, start, n_tokens, ids_crc32, ids (little-endian, 4 bytes each).
+
+    A file is read in ranges of ``max_ids`` ids, each of which takes the documents that begin in it, by random access to
+    their blocks. There are as many tasks as ranges, which the files' numbers of ids tell.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     schema = StructType.fromDDL("doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
-    return files.repartition("part").mapInArrow(_read_files(folder, to_arrow_schema(schema)), schema)
+    ranges = files.select("part", "file", "start", F.explode(F.expr(f"sequence(0L, n_ids - 1, {max_ids}L)")).alias("low"))
+    tasks = max(1, files.agg(F.sum(F.ceil(F.col("n_ids") / max_ids))).first()[0] or 0)
+    # Each range is a row of its own key: range partitions put one in each task, and adaptive execution leaves a given number alone.
+    dealt = ranges.repartitionByRange(int(tasks), "part", "low")
+    return dealt.mapInArrow(_read_ranges(folder, max_ids, to_arrow_schema(schema)), schema)
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int, white_space: str = "drop", **options) -> DataFrame:
