@@ -44,6 +44,7 @@ DISTANCE = 3
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 HALF = 9
 SHARD_ROWS = 1_000_000
+TASK_PRINTS = 100_000
 PAIRS = 1 << 21
 CHUNK = 1 << 16
 
@@ -276,17 +277,20 @@ def near_links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     if not 0 <= distance <= DISTANCE:
         raise ValueError(f"links reach from 0 to {DISTANCE} bits")
     schema = StructType.fromDDL("key bigint, fp bigint, kept boolean")
-    keyed, held = (prints.select("fp").mapInArrow(_keys(to_arrow_schema(schema), ask), schema) for ask in (True, False))
-    shards = max(4 * partitions(prints), prints.count() * 96 // SHARD_ROWS + 1)
+    # A fingerprint is eight bytes and makes 96 rows: few tasks would read them all.
+    count = prints.count()
+    dealt = prints.select("fp").repartition(max(partitions(prints), count // TASK_PRINTS + 1), "fp")
+    keyed, held = (dealt.mapInArrow(_keys(to_arrow_schema(schema), ask), schema) for ask in (True, False))
+    shards = max(4 * partitions(prints), count * 96 // SHARD_ROWS + 1)
     # A hot key's kept fingerprints go to several tasks, each with a part of those that ask.
     hot = F.broadcast(hot_share(held, "key").drop("_n"))
     salts = F.coalesce("_salts", F.lit(1))
     every = F.sequence(F.lit(0), salts - 1)
     one = F.array(F.pmod(F.xxhash64("fp"), salts).cast("int"))
     salt = F.explode(F.when(F.col("kept"), every).otherwise(one)).alias("salt")
-    dealt = keyed.join(hot, "key", "left").select("key", "fp", "kept", salt)
+    salted = keyed.join(hot, "key", "left").select("key", "fp", "kept", salt)
     shard = F.pmod(F.xxhash64("key", "salt"), F.lit(shards)).cast("int").alias("shard")
-    return dealt.select(shard, "salt", "key", "fp", "kept").groupBy("shard").applyInArrow(_links(distance), "a bigint, b bigint")
+    return salted.select(shard, "salt", "key", "fp", "kept").groupBy("shard").applyInArrow(_links(distance), "a bigint, b bigint")
 
 
 def near_classes(
