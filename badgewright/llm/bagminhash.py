@@ -289,6 +289,12 @@ def near_report(docs: DataFrame, **options) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The first document of every class, with the columns it came with."""
+    """One row per class, its first document's, with the columns it came with.
+
+    Of rows that are equal in id and text, which are one document, the one with the smallest hash of all its columns stays.
+    """
     heads = near_classes(docs, id_col, text_col, **options).where("head").select("doc", "twin").distinct()
-    return packed(docs, id_col, text_col).select("*", *row_key()).join(heads, ["doc", "twin"]).select("row.*")
+    rows = packed(docs, id_col, text_col).select("row", *row_key()).join(heads, ["doc", "twin"])
+    # Partitioned by the same columns as the join: no further shuffle.
+    kept = rows.groupBy("doc", "twin").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return kept.select("row.*")
