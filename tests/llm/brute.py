@@ -94,7 +94,7 @@ def contamination_rows(docs, items, window: int = 13):
             for i in range(len(w) - size + 1):
                 if (own := patterns.get(tuple(w[i : i + size]))) is not None:
                     hit.update(range(i, i + size))
-                    found |= own
+                    found |= own - {None}
         digest = sha(",".join(sorted(map(str, found))))
         out[d] = (len(w), len(hit), len(found), digest, bool(hit) and 20 * len(hit) >= len(w))
     return out

@@ -8,9 +8,11 @@ from collections import defaultdict
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from badgewright.llm import bagminhash, decontaminate, divergence, lines, packing, style_tree, substrings, token_files
 from badgewright.llm.queries import ORACLE, QUERIES
+from badgewright.sources.files import scratch_path
 
 from . import brute, cases
 from .conftest import ROOT
@@ -61,6 +63,19 @@ def test_token_files(spark, documents):
     assert found == brute.token_rows(documents, WORD_BPE, 1)
 
 
+def test_token_files_are_read_in_many_tasks(spark, documents):
+    """As many tasks as ranges of ids, however few the files."""
+    from badgewright.llm.shared import raw
+
+    folder = f"file://{scratch_path(spark, 'tokens').removeprefix('file:')}"
+    files = token_files.write_token_files(raw(spark, ROOT, "documents"), folder, WORD_BPE, 1)
+    read = token_files.read_token_files(spark, folder, files, max_ids=2000)
+    n_ids = files.agg({"n_ids": "sum"}).first()[0]
+    assert rows_of(read, "start", "n_tokens", "ids_crc32") == brute.token_rows(documents, WORD_BPE, 1)
+    tasks = read.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert read.rdd.getNumPartitions() >= n_ids // 2000 and tasks > n_ids // 8000
+
+
 def test_token_files_edge(spark):
     found = rows_of(token_files.token_files(cases.table(spark), WORD_BPE, 1), "start", "n_tokens", "ids_crc32")
     assert found == brute.token_rows(EDGE, WORD_BPE, 1)
@@ -127,9 +142,11 @@ def test_substring_dedup_of_crowded_anchors(spark, documents):
 @pytest.mark.parametrize("max_pass_bytes", [1 << 20, 300])
 def test_decontamination_edge(spark, max_pass_bytes):
     found = decontaminate.contamination_report(cases.table(spark), cases.benchmark(spark), max_pass_bytes=max_pass_bytes)
-    items = [(i, t) for i, t in cases.BENCHMARK if i is not None]
     columns = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    assert rows_of(found, *columns) == brute.contamination_rows(EDGE, items)
+    rows = rows_of(found, *columns)
+    assert rows == brute.contamination_rows(EDGE, cases.BENCHMARK)
+    # The item without an id is found all the same.
+    assert rows[0][1] == 120 and rows[0][4] and rows[0][2] == 0
 
 
 def test_bagminhash(spark, documents):
@@ -188,4 +205,7 @@ def test_columns_come_back(spark):
     heads = bagminhash.drop_near_copies(docs)
     assert heads.dtypes == docs.dtypes
     assert {r["doc_id"] for r in heads.collect()} == set(brute.near_classes(EDGE).values())
+    # Equal rows are one document: five of one and another one are two rows.
+    repeated = cases.table(spark, [(7, cases.BASE)] * 5 + [(8, cases.SHARED)])
+    assert sorted(r["doc_id"] for r in bagminhash.drop_near_copies(repeated).collect()) == [7, 8]
     assert substrings.remove_repeats(docs).select("row.*").dtypes == docs.dtypes
