@@ -1,24 +1,25 @@
 """Quality rules by distribution divergence.
 
-A document's histograms of character classes and of common words are compared with those of each
-language by the Jensen-Shannon distance. The references are counted over all documents:
+A document's histograms of character classes and of common words are compared with those of its language (``lang``)
+by the Jensen-Shannon distance. The references are counted over all documents:
 
 1. A word is common if it makes at least ``COMMON`` of a language's words. Every slice of the
    input names the words that make half of that share of the slice; a word common overall
    is named by some slices with at least ``COMMON`` / 2 of all words together, so no common word is missed,
    and there are at most 2 / COMMON candidates per language.
-2. The candidates and the character classes are counted exactly.
-3. Every document gets the base counts, the language whose words are nearest, and its two distances.
+2. The candidates and the character classes are counted exactly, and each language's common words and classes made its reference.
+3. Every document gets the base counts and its two distances from its language's reference.
    Short documents are told by the base rules alone: their histograms say little. The limit of the word
    distance follows from the reference: squared, it lies between what n words drawn from the
    reference differ from it by chance, and what a text without any common word differs at every length. So a
    text that lacks a language's common words is rejected at any size.
 
-Languages with under a thousandth of all words get no reference, so there are at most a thousand.
-Without any reference only the base rules hold.
+Every language with ``LEAST_WORDS`` words of its own has a reference, however small its share of the table; documents of the others
+are judged by the base rules alone. Nothing that grows with the number of languages is collected: candidates and references are
+tables, joined to the documents by language, broadcast while they are small, else by shuffled and salted joins.
 
 Defined results: a null or empty text has no words and fails the base rules; a null language is a
-language of its own; each row of a repeated id is judged by itself.
+language of its own; each row of a repeated id is judged by itself; no documents give no rows.
 """
 
 from __future__ import annotations
@@ -31,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from badgewright.llm.shared import record_batch, slices, prepare_workers
+from badgewright.llm.shared import prepare_workers, record_batch, salted_join, slices
 from badgewright.llm.words import Words, mixed, pieces, run_hashes, split_words, text_bytes, windows
+from badgewright.sources.files import materialised
 
 COMMON = 1 / 400
-LEAST_LANGUAGE = 1 / 1000
+# Words that a language must have for a reference of its own.
+LEAST_WORDS = 10_000
 MIN_WORDS = 60
 MIN_CHARACTERS = 200
 MAX_CHARACTER_DISTANCE = 0.25
@@ -45,6 +48,9 @@ WORD_LIMIT = 0.4
 LEAST_COVER = 0.1
 PILE_UP = 0.60
 WINDOW = 8
+KNOTS = 16
+BROADCAST_BYTES = 32 << 20
+BLOCK_ROWS = 2048
 
 # Character classes: lower case, upper case, digits, white space, sentence marks, other ASCII, the rest.
 CLASSES = 7
@@ -62,7 +68,7 @@ _APART = np.array([b < 128 and not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <=
 
 SCORES = (
     "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
-    "base_failed boolean, kept boolean, language string, character_distance double, word_distance double"
+    "base_failed boolean, kept boolean, judged boolean, character_distance double, word_distance double"
 )
 
 
@@ -105,16 +111,24 @@ def repeated_lines(text: str) -> int:
 
 
 @dataclass
-class References:
-    """``words``: sorted hashes of all common words; ``word_shares`` and ``class_shares``: a row per language.
-
-    The last column of ``word_shares`` is the share of all other words.
-    """
+class Reference:
+    """``words``: sorted hashes of a language's common words; ``word_shares``: their shares, the last one that of all other
+    words; ``class_shares`` of the characters; ``chance``: see ``chance_squares``."""
 
-    languages: list[str]
     words: np.ndarray
     word_shares: np.ndarray
     class_shares: np.ndarray
+    chance: np.ndarray
+
+    def to_bytes(self) -> bytes:
+        return self.words.astype("<u8").tobytes() + np.concatenate([self.word_shares, self.class_shares, self.chance]).astype("<f8").tobytes()
+
+    @classmethod
+    def of_bytes(cls, data: bytes) -> Reference:
+        # Words, one share more than words, classes and knots, eight bytes each.
+        k = (len(data) // 8 - 1 - CLASSES - KNOTS) // 2
+        shares = np.frombuffer(data, "<f8", offset=8 * k)
+        return cls(np.frombuffer(data, "<u8", k), shares[: k + 1], shares[k + 1 : k + 1 + CLASSES], shares[k + 1 + CLASSES :])
 
 
 def distances(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
@@ -127,9 +141,6 @@ def distances(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a + b) / 2, 0.0))
 
 
-KNOTS = 16
-
-
 def chance_squares(reference: np.ndarray) -> np.ndarray:
     """Expected squared distance of 1, 2, 4, ... words drawn from a reference."""
     shares = reference[reference > 0]
@@ -164,97 +175,139 @@ def word_limits(reference: np.ndarray, expected: np.ndarray, sizes: np.ndarray,
     return chance + limit * np.maximum(most - chance, 0.0)
 
 
-def _languages(batch: pa.RecordBatch) -> tuple[np.ndarray, list[str | None]]:
-    encoded = batch.column("lang").dictionary_encode(null_encoding="encode")
+def _languages(batch: pa.RecordBatch) -> tuple[np.ndarray, list[str]]:
+    encoded = batch.column("language").dictionary_encode()
     return encoded.indices.to_numpy(zero_copy_only=False), encoded.dictionary.to_pylist()
 
 
+def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
+    """Each language of a batch with its rows."""
+    code, names = _languages(batch)
+    order = np.argsort(code, kind="stable")
+    cuts = np.searchsorted(code[order], np.arange(len(names) + 1))
+    for k, name in enumerate(names):
+        yield name, order[cuts[k] : cuts[k + 1]]
+
+
+def _words_of(words: Words, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the words of some texts, and for each the place of its text among ``rows``."""
+    count = words.counts[rows]
+    ends = np.cumsum(count)
+    at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(words.first[rows] - (ends - count), count)
+    return at, np.repeat(np.arange(len(rows)), count)
+
+
 def _name_candidates(common: float, schema: pa.Schema):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             words = plain_words(batch.column("text"))
-            hashes, (code, names) = words.hashes(), _languages(batch)
-            language = np.repeat(code, words.counts)
-            rows = []
-            for k, name in enumerate(names):
-                mine = np.flatnonzero(language == k)
-                found, first, n = np.unique(hashes[mine], return_index=True, return_counts=True)
+            hashes = words.hashes()
+            languages, named, counts, totals = [], [], [], []
+            for name, rows in _by_language(batch):
+                mine = hashes[_words_of(words, rows)[0]]
+                found, n = np.unique(mine, return_counts=True)
                 often = np.flatnonzero(n >= common / 2 * len(mine))
-                for x in often:
-                    at = mine[first[x]]
-                    rows.append((name, words.text(at, at + 1).decode("utf-8", "replace"), int(found[x].view(np.int64)), int(n[x])))
-                rows.append((name, None, 0, len(mine)))
-            yield record_batch(list(zip(*rows, strict=True)) if rows else [[]] * 4, schema)
+                languages += [name] * (len(often) + 1)
+                named += [*found[often].view(np.int64).tolist(), 0]
+                counts += [*n[often].tolist(), len(mine)]
+                totals += [False] * len(often) + [True]
+            yield record_batch([languages, totals, named, counts], schema)
 
     return run
 
 
-def _count(candidates: np.ndarray, schema: pa.Schema):
+def _sorted(hashes: list[int]) -> np.ndarray:
+    """Hashes as they are looked up: unsigned and sorted."""
+    return np.sort(np.array(hashes, dtype=np.int64).view(np.uint64))
+
+
+def _count(schema: pa.Schema, held: int = 2000):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str | None, np.ndarray] = {}
+        sums: dict[str, np.ndarray] = {}
         for batch in slices(batches):
             words = plain_words(batch.column("text"))
-            bins, plain = word_bins(words, candidates), class_counts(*text_bytes(batch.column("text")))
-            code, names = _languages(batch)
-            language = np.repeat(code, words.counts)
-            for k, name in enumerate(names):
-                counted = np.bincount(bins[language == k], minlength=len(candidates) + 1)
-                both = np.concatenate([counted, plain[code == k].sum(axis=0)])
+            hashes, plain = words.hashes(), class_counts(*text_bytes(batch.column("text")))
+            for name, rows in _by_language(batch):
+                candidates = _sorted(batch.column("candidates")[int(rows[0])].as_py())
+                bins = word_bins(hashes[_words_of(words, rows)[0]], candidates)
+                counted = np.bincount(bins, minlength=len(candidates) + 1)
+                both = np.concatenate([counted, plain[rows].sum(axis=0)])
                 sums[name] = sums[name] + both if name in sums else both
+            if len(sums) > held:
+                yield record_batch([list(sums), [x.tolist() for x in sums.values()]], schema)
+                sums = {}
         yield record_batch([list(sums), [x.tolist() for x in sums.values()]], schema)
 
     return run
 
 
-def word_bins(words: Words, candidates: np.ndarray) -> np.ndarray:
+def word_bins(hashes: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     """Number of each word among the sorted candidates, or one past the last."""
-    hashes = words.hashes()
     if not len(candidates):
         return np.zeros(len(hashes), dtype=np.int64)
     place = np.minimum(np.searchsorted(candidates, hashes), len(candidates) - 1)
     return np.where(candidates[place] == hashes, place, len(candidates))
 
 
-def build_references(docs: DataFrame, common: float = COMMON) -> References:
-    """References of all languages of (text, lang); what reaches the driver is bounded by ``common``."""
+def reference_of(candidates: np.ndarray, counts: np.ndarray, common: float = COMMON) -> Reference:
+    """A language's reference from its candidates' counts, that of all other words, and those of the character classes."""
+    words, plain = counts[: len(candidates) + 1].astype(np.float64), counts[len(candidates) + 1 :].astype(np.float64)
+    shares = words / max(words.sum(), 1)
+    kept = shares[:-1] >= common
+    shares = np.append(shares[:-1][kept], shares[:-1][~kept].sum() + shares[-1])
+    return Reference(candidates[kept], shares, plain / max(plain.sum(), 1), chance_squares(shares))
+
+
+def _make_references(common: float, schema: pa.Schema):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for candidates, counts in zip(batch.column("candidates").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                made.append(reference_of(_sorted(candidates), np.array(counts, dtype=np.int64), common).to_bytes())
+            yield record_batch([batch.column("language"), made], schema)
+
+    return run
+
+
+def with_language(docs: DataFrame, table: DataFrame, column: str, how: str) -> DataFrame:
+    """Documents with ``column`` of their language's row in a written table.
+
+    The table is broadcast while it is no larger than ``BROADCAST_BYTES``; beyond that it is shuffled, and languages with a
+    large share of the documents are salted.
+    """
+    size = table.agg(F.coalesce(F.sum(F.octet_length(F.col(column).cast("string"))), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
+        return docs.join(F.broadcast(table), "language", how)
+    return salted_join(docs, table, "language", "text", how)
+
+
+def build_references(docs: DataFrame, common: float = COMMON, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(language, reference) of all languages of (text, language) that have enough words, as a written table."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    schema = StructType.fromDDL("lang string, word string, hash bigint, n bigint")
+    schema = StructType.fromDDL("language string, is_total boolean, hash bigint, n bigint")
     named = docs.mapInArrow(_name_candidates(common, to_arrow_schema(schema)), schema)
-    named = named.groupBy("lang", "word", "hash").agg(F.sum("n").alias("n"))
-    totals = named.where("word IS NULL").select("lang", F.col("n").alias("total"))
-    large = totals.where(F.col("total") >= LEAST_LANGUAGE * totals.agg(F.sum("total")).scalar())
-    large_rows = {row["lang"]: row["total"] for row in large.collect()}
-    share = F.lit(common / 2)
-    named = named.where("word IS NOT NULL").join(
-        F.broadcast(large.withColumnRenamed("lang", "language")), F.col("lang").eqNullSafe(F.col("language"))
-    )
-    candidates = named.where(F.col("n") >= share * F.col("total")).select("hash").distinct().collect()
-    hashes = np.sort(np.array([row["hash"] for row in candidates], dtype=np.int64).view(np.uint64))
-
-    counted_schema = StructType.fromDDL("lang string, counts array<bigint>")
-    counted = docs.mapInArrow(_count(hashes, to_arrow_schema(counted_schema)), counted_schema)
-    sums = counted.select("lang", F.posexplode("counts")).groupBy("lang", "pos").agg(F.sum("col").alias("n"))
-    table: dict[str | None, np.ndarray] = {}
-    for row in sums.collect():
-        if row["lang"] in large_rows:
-            table.setdefault(row["lang"], np.zeros(len(hashes) + 1 + CLASSES))[row["pos"]] = row["n"]
-    table = {k: v for k, v in sorted(table.items(), key=lambda x: (x[0] is None, x[0])) if v[: len(hashes) + 1].sum()}
-    if not table:
-        return References([], hashes[:0], np.zeros((0, 1)), np.zeros((0, CLASSES)))
-    words = np.array([v[: len(hashes) + 1] / v[: len(hashes) + 1].sum() for v in table.values()])
-    classes = np.array([v[len(hashes) + 1 :] / v[len(hashes) + 1 :].sum() for v in table.values()])
-    kept = words[:, :-1].max(axis=0) >= common
-    rest = words[:, :-1][:, ~kept].sum(axis=1, keepdims=True) + words[:, -1:]
-    shares = np.concatenate([words[:, :-1][:, kept], rest], axis=1)
-    return References([k or "" for k in table], hashes[kept], shares, classes)
-
-
-def _judge(references: References, limits: tuple[float, float, int, int], schema: pa.Schema):
+    named = materialised(named.groupBy("language", "is_total", "hash").agg(F.sum("n").alias("n")), "named-words")
+    large = named.where("is_total").select("language", F.col("n").alias("total")).where(F.col("total") >= least_words)
+    often = salted_join(named.where("NOT is_total"), large, "language", "hash").where(F.col("n") >= common / 2 * F.col("total"))
+    # At most 2 / common words of each language.
+    by_language = often.groupBy("language").agg(F.collect_list("hash").alias("found"))
+    found = F.coalesce("found", F.array().cast("array<bigint>")).alias("candidates")
+    candidates = materialised(large.join(by_language, "language", "left").select("language", found), "word-candidates")
+
+    counted_schema = StructType.fromDDL("language string, counts array<bigint>")
+    counted = with_language(docs, candidates, "candidates", "inner").mapInArrow(_count(to_arrow_schema(counted_schema)), counted_schema)
+    sums = counted.select("language", F.posexplode("counts")).groupBy("language", "pos").agg(F.sum("col").alias("n"))
+    whole = sums.groupBy("language").agg(F.array_sort(F.collect_list(F.struct("pos", "n"))).alias("sums"))
+    made_of = candidates.join(whole, "language").select("language", "candidates", F.col("sums.n").alias("counts"))
+    out = StructType.fromDDL("language string, reference binary")
+    return materialised(made_of.mapInArrow(_make_references(common, to_arrow_schema(out)), out), "language-references")
+
+
+def _judge(limits: tuple[float, float, int, int], schema: pa.Schema):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         most_class, word_limit, min_words, min_characters = limits
-        chance = [chance_squares(shares) for shares in references.word_shares]
         for batch in slices(batches):
             texts = batch.column("text")
             words, n = split_words(texts), len(batch)
@@ -269,27 +322,32 @@ def _judge(references: References, limits: tuple[float, float, int, int], schema
             repeated = repeated_words(words)
             dup_lines = [repeated_lines(t) for t in texts.to_pylist()]
             failed = (n_words < 20) | (100 * repeated > 30 * n_words)
-            classes = class_counts(words.data, words.rows)
+            classes = class_counts(words.data, words.rows).astype(np.float64)
 
             plain = plain_words(texts)
-            bins, k = word_bins(plain, references.words), len(references.words) + 1
-            row = plain.row
-            counts = np.bincount(row * k + bins, minlength=n * k).reshape(n, k).astype(np.float64)
-            near, far_class, language, most = np.full(n, np.inf), np.zeros(n), np.full(n, -1), np.zeros(n)
-            for number in range(len(references.languages)):
-                distance = distances(counts, references.word_shares[number])
-                better = distance < near
-                near[better], language[better] = distance[better], number
-                by_class = distances(classes.astype(np.float64), references.class_shares[number])
-                far_class[better] = by_class[better]
-                most[better] = word_limits(references.word_shares[number], chance[number], plain.counts[better], word_limit)
-            enough = (plain.counts >= min_words) & (classes.sum(axis=1) >= min_characters) & (language >= 0)
-            apart = enough & ((far_class > most_class) | (near**2 > most))
-            names = [references.languages[x] if x >= 0 else None for x in language]
-            columns = [n_words, word_chars, symbols, dup_lines, repeated, failed, ~failed & ~apart, names]
-            given = [batch.column(name) for name in ("doc_id", "row") if name in batch.schema.names]
-            distance = [np.where(language >= 0, x, np.nan) for x in (far_class, near)]
-            yield record_batch([*given, *columns, *distance], schema)
+            hashes = plain.hashes()
+            far_class, far_words, most = np.full(n, np.nan), np.full(n, np.nan), np.full(n, np.inf)
+            known = batch.column("reference")
+            for _, every in _by_language(batch):
+                if not known[int(every[0])].is_valid:
+                    continue
+                reference = Reference.of_bytes(known[int(every[0])].as_py())
+                k = len(reference.word_shares)
+                for first in range(0, len(every), BLOCK_ROWS):
+                    rows = every[first : first + BLOCK_ROWS]
+                    at, place = _words_of(plain, rows)
+                    bins = word_bins(hashes[at], reference.words)
+                    counts = np.bincount(place * k + bins, minlength=len(rows) * k).reshape(len(rows), k).astype(np.float64)
+                    far_words[rows] = distances(counts, reference.word_shares)
+                    far_class[rows] = distances(classes[rows], reference.class_shares)
+                    most[rows] = word_limits(reference.word_shares, reference.chance, plain.counts[rows], word_limit)
+            judged = known.is_valid().to_numpy(zero_copy_only=False)
+            enough = judged & (plain.counts >= min_words) & (classes.sum(axis=1) >= min_characters)
+            with np.errstate(invalid="ignore"):
+                apart = enough & ((far_class > most_class) | (far_words**2 > most))
+            columns = [n_words, word_chars, symbols, dup_lines, repeated, failed, ~failed & ~apart, judged]
+            given = [batch.column(name) for name in ("doc_id", "lang") if name in batch.schema.names]
+            yield record_batch([*given, *columns, far_class, far_words], schema)
 
     return run
 
@@ -303,18 +361,25 @@ def judge_documents(
     word_limit: float = WORD_LIMIT,
     min_words: int = MIN_WORDS,
     min_characters: int = MIN_CHARACTERS,
+    least_words: int = LEAST_WORDS,
 ) -> DataFrame:
-    """Per document: doc_id, the base counts, base_failed, kept, nearest language and distances."""
+    """Per document: doc_id, the base counts, base_failed, kept, the language it was compared with (null: none) and distances."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     prepare_workers(docs.sparkSession)
+    lang = F.col(lang_col).cast("string")
     state = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-        F.col(lang_col).cast("string").alias("lang"),
+        lang.alias("lang"),
+        F.coalesce(F.concat(F.lit("="), lang), F.lit("")).alias("language"),
     )
-    references = build_references(state.select("text", "lang"))
-    schema = StructType.fromDDL("doc_id bigint, " + SCORES)
+    references = build_references(state.select("text", "language"), least_words=least_words)
+    schema = StructType.fromDDL("doc_id bigint, lang string, " + SCORES)
     limits = (max_character_distance, word_limit, min_words, min_characters)
-    return state.mapInArrow(_judge(references, limits, to_arrow_schema(schema)), schema)
+    compared = with_language(state, references, "reference", "left")
+    scored = compared.mapInArrow(_judge(limits, to_arrow_schema(schema)), schema)
+    names = [f.name for f in StructType.fromDDL(SCORES)]
+    shown = [F.when(F.col("judged"), F.col("lang")).alias("language") if c == "judged" else F.col(c) for c in names]
+    return scored.select("doc_id", *shown)
