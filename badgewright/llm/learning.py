@@ -21,15 +21,16 @@ def is_held_out(doc_id: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % FOLDS == 0
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, column: str = "text") -> DataFrame:
     """(text, y) of at most ``rows`` labelled documents that are not held out, picked by the hash of their id.
 
-    Only the picked ids and labels are broadcast, ``rows`` of them at most, so no text is shuffled.
+    Only the picked ids and labels are broadcast, ``rows`` of them at most, so no text is shuffled. ``column`` names
+    another column than the text.
     """
     usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     usable = usable.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     picked = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.join(F.broadcast(picked), "doc_id").select("text", "y")
+    return docs.join(F.broadcast(picked), "doc_id").select(column, "y")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -187,18 +187,42 @@ def test_distances():
     assert found[0] == 0 and abs(found[1] - 1) < 1e-9 and np.isfinite(found[2])
 
 
+class HeldRows(quality.Unlabelled):
+    """Unlabelled rows in memory."""
+
+    def __init__(self, codes, bins):
+        self.codes, self.fold, self.bins = codes, np.arange(len(codes)) % 2, bins
+
+    def total(self, of_codes):
+        halves = np.array_split(np.arange(len(self.codes)), 3)
+        return np.sum([of_codes(self.codes[h], self.fold[h]) for h in halves], axis=0)
+
+
 def test_prior_and_risk():
     rng = np.random.default_rng(2)
     good, bad = rng.normal(2, 1, (6000, 2)), rng.normal(-2, 1, (1000, 2))
-    unlabelled = np.vstack([good[3000:], bad])
-    bins = quality.Bins.of(unlabelled)
-    prior = quality.estimate_prior(bins(good[:3000]), bins(unlabelled))
+    x = np.vstack([good[3000:], bad])
+    bins = quality.Bins.of([np.quantile(c, np.arange(1, 12) / 12) for c in x.T], good[:3000])
+    positive, unlabelled = bins.indicators(bins.codes(good[:3000])), HeldRows(bins.codes(x), bins)
+    prior = quality.estimate_prior(positive, unlabelled)
     assert abs(prior - 0.75) < 0.06
-    w = quality.fit(bins(good[:3000]), bins(unlabelled), prior)
-    score = bins(unlabelled) @ w[:-1] + w[-1]
+    weights, lowered = quality.fit(positive, unlabelled, prior)
+    assert abs(lowered - 0.75) < 0.06
+    score = bins.weigh(unlabelled.codes, weights)
     assert ((score > 0) == (np.arange(4000) < 3000)).mean() > 0.97
 
 
+def test_sums_of_parts_add_up():
+    rng = np.random.default_rng(3)
+    x, w = rng.integers(0, 2, (20_000, 7)).astype(np.float32), rng.normal(0, 1, 7)
+    whole = quality.Sums.of(x, w)
+    parts = sum(quality.Sums.of(x[k::3], w).to_vector() for k in range(3))
+    back = quality.Sums.of_vector(parts, 7)
+    p = 1 / (1 + np.exp(-(x @ w)))
+    assert back.n == 20_000 and np.allclose(back.gradient, p @ x) and np.allclose(back.loss, whole.loss)
+    assert np.allclose(back.hessian, (x * (p * (1 - p))[:, None]).T @ x, rtol=1e-4) and np.allclose(back.hessian, back.hessian.T)
+
+
 def test_quality_features_are_numbers_for_any_text():
     x = quality.features(pa.array(["", " ", "A", "a a a", "x" * 10_000, "é\n\n|!#", None]))
     assert x.shape == (7, quality.FEATURES) and np.isfinite(x).all()

@@ -76,3 +76,16 @@ def test_pipeline_equals_plain_stages(spark):
 
     check_packing(frames["packing"], [(r["doc_id"], r["text"]) for r in frames["decontamination"]])
     assert corpus_pipeline.run(spark, ROOT).count() == len(frames["packing"])
+
+
+def test_a_bad_kind_of_one_in_fifty_thousand_counts(spark):
+    """All unlabelled documents make the bins, the prior and the risk: a kind that no sample of a thousand holds is told."""
+    from pyspark.sql import functions as F
+
+    vowels = F.concat_ws(" ", *[F.concat(F.chr(97 + F.pmod(F.hash("id", F.lit(k)), F.lit(20)).cast("int")), F.lit("ara")) for k in range(24)])
+    docs = spark.range(50_000).select(F.col("id").alias("doc_id"), F.concat(vowels, F.lit(".")).alias("text"))
+    odd = spark.createDataFrame([(60_000, "7 3 99 1 0 8 55 " * 4)], "doc_id bigint, text string")
+    labels = cases.labels(spark, [(k, 1, 0) for k in range(0, 50_000, 100)])
+    report = quality.quality_report(docs.unionByName(odd), labels)
+    scores = {r["doc_id"]: r["score"] for r in report.where("doc_id % 1000 = 0").collect()}
+    assert scores.pop(60_000) < 0.3 and len(scores) == 50 and min(scores.values()) > 0.5
