@@ -1,7 +1,8 @@
 """Main text of web pages by a site style tree.
 
-1. Every page is parsed into elements. An element's style is the path of tags, classes and ids
-   to it. Per page and style: its presentation (the styles of its children, equal neighbours as one) and its
+1. Every page is parsed into elements, by a scanner that only moves forward: its time and memory grow with the page, however its
+   quotes and elements are nested. An element's style is the path of tags, classes and ids
+   to it, kept as a hash of the parent's and its own label. Per page and style: its presentation (the styles of its children, equal neighbours as one) and its
    content (the text under it).
 2. The pages of a host are merged: per host and style, the different pages that have it, the
    entropy of their presentations and the entropy of their contents, both as a share of the largest
@@ -11,7 +12,8 @@
    same article count once: what a few values fill is part of the article, what one text fills is not.
 3. One or two pages say little: an expected importance by tag counts as much as ``PRIOR_PAGES`` pages.
 4. Block-level branches of low importance are removed from each page, and the text of what is left is
-   returned in blocks. Inline elements stay with their block. A page with an article or main element is reduced to it first.
+   returned in blocks. Inline elements stay with their block, headings of an article stay with it even where all
+   articles of a site have them. A page with an article or main element is reduced to it first.
 5. Where a tag or a whole class, id or role name says that a branch is no main text (navigation, adverts, readers'
    comments, which differ on every page), it goes too, unless it holds the page's only article or main element, or most of the
    text that is not of low importance.
@@ -43,7 +45,8 @@ PRIOR_PAGES = 4
 LEAST_IMPORTANCE = 0.5
 EXPECTED = 0.75
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_STOP = re.compile(r">|=\s*+[\"']")
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 
@@ -65,17 +68,20 @@ UNWANTED_NAMES = frozenset(
     "social sponsor sponsored subscribe toolbar widget ad-banner ad-container ad-slot comment-list comments-area cookie-banner "
     "page-footer page-header related-articles related-posts share-buttons side-bar site-footer site-header social-share".split()
 )
-_INSIDE = re.compile(r"^(.*?>(?:article|main)(?:\.[^>]*)?)(?=>|$)")
 # An open element that a start tag ends, and the elements that keep it open.
 _ENDS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dd dt", ("dl",)), "dd": ("dd dt", ("dl",)), "tr": ("tr td th", ("table",))}
 _ENDS |= {"td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 
 
-@dataclass
+@dataclass(slots=True)
 class Element:
+    """``label``: tag, classes and ids; ``path``: hash of the labels down to it; ``inside``: path of the outermost article or main
+    element that it is or lies in."""
+
     tag: str
-    names: tuple[str, ...] = ()
-    path: str = ""
+    label: str = "body"
+    path: int = 0
+    inside: int | None = None
     children: list[Element | str] = field(default_factory=list)
     whole_names: frozenset[str] = frozenset()
 
@@ -94,7 +100,7 @@ class Element:
         if self.tag not in BLOCKS or self.tag == "main":
             return False
         named = self.whole_names & UNWANTED_NAMES
-        if self.tag in HEADINGS or article_of(self.path):
+        if self.tag in HEADINGS or self.inside is not None:
             return bool(named - {"header"})
         return bool(named) or self.tag == "header"
 
@@ -103,60 +109,118 @@ class Element:
         return self.tag in WANTED and not self.listed
 
 
-def article_of(path: str) -> str | None:
-    """The path of the outermost article or main element on the way to an element."""
-    match = _INSIDE.match(path)
-    return match[1] if match else None
+class Stack:
+    """The open elements of a page, and where the last one of each tag stands among them."""
+
+    def __init__(self, root: Element):
+        self.elements = [root]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    @property
+    def top(self) -> Element:
+        return self.elements[-1]
+
+    def push(self, element: Element) -> None:
+        place = len(self.elements)
+        self.places.setdefault(element.tag, []).append(place)
+        if element.tag in BLOCKS and element.tag != "p":
+            self.blocks.append(place)
+        self.elements.append(element)
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The place of the last open element with one of the tags, 0 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def end(self, tags: Iterable[str], keeper: int = 0) -> None:
+        """Close the last element with one of the tags, with all that is open in it, unless ``keeper`` stands above it."""
+        place = self.last(tags)
+        if place > keeper:
+            while len(self.elements) > place:
+                gone = self.elements.pop()
+                self.places[gone.tag].pop()
+                if self.blocks and self.blocks[-1] == len(self.elements):
+                    self.blocks.pop()
 
 
 def parse(html: str) -> Element:
-    """The body of a page; comments, scripts, styles and the head are left out."""
-    root = Element("body", path="body")
-    stack, at = [root], 0
-
-    def end(names: Iterable[str], keep: Iterable[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in names:
-                del stack[k:]
-                return
-            if stack[k].tag in keep:
-                return
-
-    while match := _TOKEN.search(html, at):
-        if match.start() > at:
-            stack[-1].children.append(html[at : match.start()])
-        at = match.end()
-        if match[2] is None:
+    """The body of a page; comments, scripts, styles and the head are left out.
+
+    Every search goes on from where the last one ended. A quote that never ends ends with its tag, and quotes no longer count from
+    there on; a tag that never ends is text.
+    """
+    root = Element("body")
+    stack, at, seen = Stack(root), 0, 0
+    last, quotes, head = html.rfind(">"), True, True
+
+    def text_to(end: int) -> None:
+        if end > at:
+            stack.top.children.append(html[at:end])
+
+    while (start := html.find("<", seen)) >= 0:
+        if html.startswith("<!--", start):
+            text_to(start)
+            end = html.find("-->", start + 4)
+            at = seen = end + 3 if end >= 0 else len(html)
+            continue
+        if start > last:
+            break
+        kind = html[start + 1]
+        if kind in "!?":
+            text_to(start)
+            at = seen = html.index(">", start) + 1
             continue
-        tag = match[2].lower()
-        if match[1]:
+        name = _NAME.match(html, start + 1 + (kind == "/"))
+        if name is None:
+            seen = start + 1
+            continue
+        text_to(start)
+        tag = name[0].lower()
+        if kind == "/":
+            at = seen = html.index(">", name.end()) + 1
             if tag not in ("html", "body"):
-                end((tag,), ())
+                stack.end((tag,))
             continue
+        end, place = -1, name.end()
+        while quotes:
+            stop = _STOP.search(html, place)
+            if stop is None:
+                quotes = False
+            elif stop[0] == ">":
+                end = stop.start()
+                break
+            else:
+                place = html.find(stop[0][-1], stop.end()) + 1
+                quotes = place > 0
+        end = end if end >= 0 else html.index(">", name.end())
+        inside = html[name.end() : end]
+        at = seen = end + 1
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            at = close.end() if close else len(html)
+            at = seen = close.end() if close else len(html)
             continue
         if tag == "head":
-            close = re.compile(r"</head\s*>|<body", re.I).search(html, at)
-            at = at if close is None else close.end() if close[0][1] == "/" else close.start()
+            close = re.compile(r"</head\s*>|<body", re.I).search(html, at) if head else None
+            head = close is not None
+            if close is not None:
+                at = seen = close.end() if close[0][1] == "/" else close.start()
             continue
         if tag in BLOCKS:
-            end(("p",), BLOCKS - {"p"})
+            stack.end(("p",), stack.blocks[-1] if stack.blocks else 0)
         if tag in _ENDS:
-            end(_ENDS[tag][0].split(), _ENDS[tag][1])
+            stack.end(_ENDS[tag][0].split(), stack.last(_ENDS[tag][1]))
         if tag in ("html", "body"):
             continue
-        values = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(match[3])]
-        names = tuple(sorted({w for _, v in values for w in re.split(r"[\s_-]+", v.lower()) if w}))
-        label = ".".join((tag, *names))
-        whole_names = frozenset(w for _, v in values for w in v.lower().split())
-        element = Element(tag, names, f"{stack[-1].path}>{label}", whole_names=whole_names)
-        stack[-1].children.append(element)
-        if tag not in VOID and not match[3].rstrip().endswith("/"):
-            stack.append(element)
-    if at < len(html):
-        stack[-1].children.append(html[at:])
+        values = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(inside)]
+        names = sorted({w for _, v in values for w in re.split(r"[\s_-]+", v.lower()) if w})
+        label, above = ".".join((tag, *names)), stack.top
+        path = _hash(f"{above.path}>{label}")
+        outermost = above.inside if above.inside is not None else path if tag in WANTED else None
+        element = Element(tag, label, path, outermost, [], frozenset(w for _, v in values for w in v.lower().split()))
+        above.children.append(element)
+        if tag not in VOID and not inside.rstrip().endswith("/"):
+            stack.push(element)
+    text_to(len(html))
     return root
 
 
@@ -186,7 +250,7 @@ def content_root(body: Element) -> list[Element]:
     return wanted_below(body, False) or [body]
 
 
-def main_parts(body: Element, low: frozenset[str] | set[str] = frozenset()) -> tuple[list[Element], set[int]]:
+def main_parts(body: Element, low: frozenset[int] | set[int] = frozenset()) -> tuple[list[Element], set[int]]:
     """The elements that a page is reduced to, and the ids of the listed branches below them that go."""
     length: dict[int, int] = {}
     holds: dict[int, bool] = {}
@@ -215,7 +279,7 @@ def main_parts(body: Element, low: frozenset[str] | set[str] = frozenset()) -> t
     return roots, gone
 
 
-def blocks(roots: list[Element], low: frozenset[str] | set[str], gone: set[int] | frozenset[int] = frozenset()) -> list[str]:
+def blocks(roots: list[Element], low: frozenset[int] | set[int], gone: set[int] | frozenset[int] = frozenset()) -> list[str]:
     """Texts of the blocks under ``roots``, without branches whose style is in ``low`` and those in ``gone``."""
     out: list[str] = []
     text: list[str] = []
@@ -255,29 +319,34 @@ def host_of(url: str | None) -> str:
     return match[1].lower() if match else ""
 
 
-def styles(body: Element) -> list[tuple[str, float, int, int]]:
-    """Path, prior, presentation and content of every style of a page."""
+# Texts are told apart by polynomials over the hashes of their pieces, so that those of an element follow from its children's.
+_PRIME, _BASE = 2**61 - 1, 0x1F3D5B79A2C4E681
+
+
+def styles(body: Element) -> list[tuple[int, str, float, int | None, int, int]]:
+    """Path, tag, prior, article, presentation and content of every style of a page."""
     order = list(walk(body))
-    text: dict[int, list[str]] = {}
+    text: dict[int, tuple[int, int]] = {}
     for here in reversed(order):
-        parts: list[str] = []
+        value, power = 0, 1
         for child in here.children:
             if isinstance(child, str):
-                if child.strip():
-                    parts.append(" ".join(child.split()))
+                words = child.split()
+                more, by = (_hash(" ".join(words)) % _PRIME, _BASE) if words else (0, 1)
             else:
-                parts += text.pop(id(child))
-        text[id(here)] = parts if here is body or len(parts) < 2 else [" ".join(parts)]
-        here.names = (*here.names, "\0" + " ".join(parts))
-    by_path: dict[str, tuple[float, list[str], list[str]]] = {}
+                more, by = text[id(child)]
+            value, power = (value * by + more) % _PRIME, power * by % _PRIME
+        text[id(here)] = value, power
+    by_path: dict[int, tuple[Element, list[str], list[str]]] = {}
     for here in order:
-        names, content = here.names[:-1], here.names[-1][1:]
-        here.names = names
-        _, shapes, contents = by_path.setdefault(here.path, (here.prior, [], []))
-        labels = [c.path.rpartition(">")[2] if isinstance(c, Element) else "#" for c in here.children if not isinstance(c, str) or c.strip()]
+        _, shapes, contents = by_path.setdefault(here.path, (here, [], []))
+        labels = [c.label if isinstance(c, Element) else "#" for c in here.children if not isinstance(c, str) or c.strip()]
         shapes.append(" ".join(a for a, b in zip(labels, [None, *labels], strict=False) if a != b))
-        contents.append(content)
-    return [(p, prior, _hash("\0".join(sorted(set(s)))), _hash("\0".join(c))) for p, (prior, s, c) in by_path.items()]
+        contents.append(str(text[id(here)][0]))
+    return [
+        (path, e.tag, e.prior, e.inside, _hash("\0".join(sorted(set(shapes)))), _hash(" ".join(contents)))
+        for path, (e, shapes, contents) in by_path.items()
+    ]
 
 
 def _survey(schema: pa.Schema):
@@ -288,11 +357,11 @@ def _survey(schema: pa.Schema):
             for page, twin, url, html in zip(*columns, strict=True):
                 host = host_of(url)
                 found = styles(parse(html))
-                whole = _hash("\0".join(f"{p} {s} {c}" for p, _, s, c in sorted(found)))
-                contents = {p: c for p, _, _, c in found}
-                for path, prior, shape, content in found:
-                    if path.rpartition(">")[2].partition(".")[0] in BLOCKS:
-                        article = article_of(path)
+                whole = _hash("\0".join(sorted(f"{p} {s} {c}" for p, _, _, _, s, c in found)))
+                contents = {p: c for p, _, _, _, _, c in found}
+                for path, tag, prior, article, shape, content in found:
+                    # An article's headings are never judged.
+                    if tag in BLOCKS and not (tag in HEADINGS and article is not None):
                         same = whole if article is None else contents[article]
                         rows.append((page, twin, _hash(f"{host}\0{path}"), path, prior, article is not None, same, shape, content))
             yield record_batch(list(zip(*rows, strict=True)) if rows else [[]] * 9, schema)
@@ -327,10 +396,9 @@ def entropy_share(rows: DataFrame, feature: str, name: str) -> DataFrame:
 
 def style_importance(survey: DataFrame, prior_pages: float = PRIOR_PAGES) -> DataFrame:
     """(style, importance) of every host's styles, from written rows of pages and styles."""
-    distinct = survey.groupBy("style", "whole").agg(
-        *[F.first(c).alias(c) for c in ("prior", "inside", "shape", "content")]
-    )
-    distinct = materialised(distinct, "page-styles")
+    # Of pages that count as one, the same one whatever the order they arrive in.
+    one = F.min(F.struct("prior", "inside", "shape", "content")).alias("one")
+    distinct = materialised(survey.groupBy("style", "whole").agg(one).select("style", "whole", "one.*"), "page-styles")
     shape, content = entropy_share(distinct, "shape", "by_shape"), entropy_share(distinct, "content", "by_content")
     prior = distinct.groupBy("style").agg(F.max("prior").alias("prior"), F.max("inside").alias("inside"))
     both = content.join(shape.drop("pages", "top"), "style").join(prior, "style")
@@ -363,7 +431,7 @@ def extract_text(
     key = [F.coalesce("page_id", F.lit(2**63 - 1)).alias("page"), F.xxhash64("url", "html").alias("twin")]
     state = state.select("*", *key)
     schema = StructType.fromDDL(
-        "page bigint, twin bigint, style bigint, path string, prior double, inside boolean, whole bigint, shape bigint, content bigint"
+        "page bigint, twin bigint, style bigint, path bigint, prior double, inside boolean, whole bigint, shape bigint, content bigint"
     )
     survey = state.select("page", "twin", "url", "html").mapInArrow(_survey(to_arrow_schema(schema)), schema)
     survey = materialised(survey, "site-styles")

@@ -165,7 +165,7 @@ def test_style_tree_removes_what_a_page_is_not():
     <main><h1>A &amp;  b</h1><p>one<br>two<p>three <b>four</b><ul><li>x<li>y</ul><aside>no</aside><form>no<input></form>
     <script>if (a</b) "</p>"</script><div id="comments"><p>no</div></main><footer>no</footer>"""
     body = style_tree.parse(page)
-    low = {p for p, prior, _, _ in style_tree.styles(body) if prior == 0}
+    low = {p for p, _, prior, *_ in style_tree.styles(body) if prior == 0}
     assert style_tree.blocks(style_tree.content_root(body), low) == ["A & b", "one two", "three four", "x", "y"]
     assert style_tree.blocks(style_tree.content_root(style_tree.parse("")), set()) == []
     assert style_tree.blocks(style_tree.content_root(style_tree.parse("plain &lt;text")), set()) == ["plain <text"]
