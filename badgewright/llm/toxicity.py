@@ -2,14 +2,16 @@
 
 1. The lexicon. Which words insult or threaten is learned from labelled documents: words, and
    word beginnings of four bytes or more, that toxic documents have far more often than others. A beginning stands for
-   all its words. A few open words of the languages (negations, reporting verbs, persons spoken to, verbs of
-   harm) are given.
+   all its words. A few open words of the languages (negations, reporting verbs, persons spoken to) and stems of verbs of
+   harm, which stand for all their forms, are given; a contracted verb and the "t" behind its apostrophe negate.
 2. The grammar. A clause is a string of classes: insult, harm, person, negation, report, other. Four
    transducers rewrite it one after another, composed into one: persons near an insult make
    it targeted; a verb of harm with a person near it is a threat; a negation shortly before takes
    it back; a report marks what follows as quoted. What comes out are kinds of matches, which the scoring
    transducer gives their weights.
-3. The weights of the kinds are learned by logistic regression on the labelled sample. Composed with the grammar they
+3. A kind's weight is the sum of its features' weights: that of an insult, or of a threat, which is no less; what being targeted
+   adds; what negation and report take away. These are learned by logistic regression on the labelled sample with their signs
+   held, so a combination never seen follows from those that were. Composed with the grammar the weights
    make a transducer that gives every clause its weight, and a document's score is the probability for its clauses'
    weights together. Only clauses that hold an insult or a verb of harm are
    rewritten, so most text is read once.
@@ -17,8 +19,9 @@
 What is collected is bounded: at most ``SAMPLE`` labelled texts are counted, at most
 ``TERMS`` terms and a row of counts per sampled document come to the driver.
 
-Defined results: a null or empty text has no clause and gets the base score; without labels of both
-kinds every score is the share of toxic labels, or 0.
+Defined results: a null or empty text has no clause and gets the base score; repeated rows get equal scores, and labels count
+once per id; a null id is never held out and never labelled; without labels of both
+kinds every score is the share of toxic labels, or 0; no documents give no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from badgewright.llm.decontaminate import words_of
-from badgewright.llm.learning import held_out, labelled_sample, logistic, sigmoid
+from badgewright.llm.learning import held_out, labelled_sample, sigmoid
 from badgewright.llm.shared import packed, record_batch, slices
 
 SAMPLE = 20_000
@@ -47,17 +50,34 @@ HEAD = 4
 REACH = 3
 
 # Small open lists of words, in the four languages of the corpus.
-NEGATIONS = "not no never neither nor cannot nicht kein keine nie niemals ne pas jamais non nunca jamás tampoco".split()
-REPORTS = "said says wrote writes called calls reported sagte sagt schrieb nannte dit écrit appelé dijo dice escribió llamó".split()
-PERSONS = "you your yours du dich dir dein ihr euch sie tu te toi ton vous votre tú ti usted ustedes vosotros".split()
-HARM = "kill hurt destroy beat shoot attack töten umbringen schlagen tuer frapper détruire matar golpear destruir".split()
+NEGATIONS = (
+    "not no never neither nor cannot without nicht kein keine keinen niemals nie weder ne pas jamais non aucun ni "
+    "nunca jamás tampoco ningún ninguna sin"
+).split()
+CONTRACTED = "isn aren wasn weren don doesn didn hasn haven hadn won wouldn shouldn couldn mustn can ain".split()
+REPORTS = (
+    "said say says saying told tells wrote write writes called calls reported reports claimed claims quoted quotes "
+    "sagte sagt sagen schrieb schreibt nannte nennt behauptet dit disait écrit appelé appelle déclare "
+    "dijo dice decía escribió escribe llamó llama afirma"
+).split()
+PERSONS = (
+    "you your yours yourself yourselves du dich dir dein deine deinen deiner ihr euch euer eure sie "
+    "tu te toi ton ta tes vous votre vos tú ti contigo usted ustedes vosotros vosotras os"
+).split()
+# Beginnings of verbs of harm.
+HARM = "kill hurt destroy beat shoot attack murder stab töte töten umbring schlag erschieß tuer tuera frapp détrui mata golpe destru".split()
 
 OTHER, INSULT, HURT, PERSON, NEGATION, REPORT = range(6)
 GIVEN = {
     word.encode(): kind
-    for kind, words in ((NEGATION, NEGATIONS), (REPORT, REPORTS), (PERSON, PERSONS), (HURT, HARM))
+    for kind, words in ((NEGATION, NEGATIONS), (REPORT, REPORTS), (PERSON, PERSONS))
     for word in words
 }
+HARM_STEMS = frozenset(stem.encode() for stem in HARM)
+_HARM_LENGTHS = sorted({len(stem) for stem in HARM_STEMS})
+_CONTRACTED = frozenset(word.encode() for word in CONTRACTED)
+# A contraction written with a typographic apostrophe is one word.
+_CURLY = "n\u2019t".encode()
 _CLAUSE = re.compile(r"[.!?;:,\n()\"«»“”]+")
 
 
@@ -146,6 +166,47 @@ def weighted(matches: Transducer, weights: np.ndarray) -> Transducer:
     return matches.then(Transducer.of(1, SYMBOLS, weigh))
 
 
+# Features of a kind: any match, a threat, and being targeted, negated, quoted. What a threat has beyond an insult is its own.
+FEATURES = 5
+# Bounds of the features' weights, and what they are held to where the labels say little.
+LOW = np.array([1.0, 0.0, 0.25, -np.inf, -np.inf])
+HIGH = np.array([np.inf, np.inf, np.inf, -0.5, -0.25])
+EXPECTED = np.array([2.0, 0.5, 0.5, -1.0, -0.5])
+HOLD = 4.0
+
+
+def kind_features() -> np.ndarray:
+    """The features of each of the 32 kinds of match."""
+    kinds = np.arange(32)
+    bits = [kinds >= 0, kinds & THREAT, kinds & TARGETED, kinds & NEGATED, kinds & QUOTED]
+    return np.stack([np.asarray(b, dtype=bool) for b in bits], axis=1).astype(float)
+
+
+def kind_weights(features: np.ndarray) -> np.ndarray:
+    """The weight of each kind; no match lowers a score."""
+    return np.maximum(kind_features() @ features, 0.0)
+
+
+def signed_logistic(x: np.ndarray, y: np.ndarray, sweeps: int = 100) -> tuple[np.ndarray, float]:
+    """Weights of a logistic regression within ``LOW`` and ``HIGH``, held to ``EXPECTED``, and the intercept."""
+    w, base = EXPECTED.copy(), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
+    x1 = np.hstack([x, np.ones((len(x), 1))])
+    for _ in range(sweeps):
+        before = np.append(w, base)
+        for k in range(x1.shape[1]):
+            p = sigmoid(x1 @ np.append(w, base))
+            held = HOLD if k < FEATURES else 0.0
+            gradient = x1[:, k] @ (p - y) + (held * (w[k] - EXPECTED[k]) if k < FEATURES else 0.0)
+            step = gradient / (x1[:, k] ** 2 @ (p * (1 - p)) + held + 1e-6)
+            if k < FEATURES:
+                w[k] = np.clip(w[k] - np.clip(step, -1, 1), LOW[k], HIGH[k])
+            else:
+                base -= float(np.clip(step, -1, 1))
+        if np.abs(before - np.append(w, base)).max() < 1e-5:
+            break
+    return w, base
+
+
 def harmless(kind: int) -> bool:
     return bool(kind & THREAT) and not kind & TARGETED
 
@@ -168,13 +229,25 @@ class Lexicon:
     beginnings: frozenset[bytes]
 
     def __post_init__(self) -> None:
-        self.heads = {w[:HEAD] for w in (*self.words, *self.beginnings)} | {w[:HEAD] for w in GIVEN if GIVEN[w] == HURT}
+        self.heads = {w[:HEAD] for w in (*self.words, *self.beginnings, *HARM_STEMS)}
         self.lengths = sorted({len(b) for b in self.beginnings})
 
     def kind(self, word: bytes) -> int:
         if word in self.words or any(word[:n] in self.beginnings for n in self.lengths if n <= len(word)):
             return INSULT
-        return GIVEN.get(word, OTHER)
+        if word in GIVEN:
+            return GIVEN[word]
+        if any(word[:n] in HARM_STEMS for n in _HARM_LENGTHS if n <= len(word)):
+            return HURT
+        return NEGATION if word.endswith(_CURLY) else OTHER
+
+    def kinds(self, words: list[bytes]) -> list[int]:
+        """Classes of a clause's words; the "t" of a contracted negation is one."""
+        found = [self.kind(w) for w in words]
+        for k in range(1, len(words)):
+            if words[k] == b"t" and words[k - 1] in _CONTRACTED:
+                found[k] = NEGATION
+        return found
 
     def clauses(self, text: str) -> Iterator[list[int]]:
         """Class strings of the clauses that hold an insult or a verb of harm."""
@@ -184,7 +257,7 @@ class Lexicon:
         for clause in _CLAUSE.split(text):
             words = words_of(clause)
             if any(w[:HEAD] in heads for w in words):
-                string = [self.kind(w) for w in words]
+                string = self.kinds(words)
                 if INSULT in string or HURT in string:
                     yield reversed_persons(string)
 
@@ -287,9 +360,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE) -> Mode
         share = float(y.mean()) if len(y) else 0.0
         return Model(lexicon, np.zeros(32), float(np.log((share + 1e-6) / (1 - share + 1e-6))))
     x = np.array([row["counts"] for row in rows])
-    # Matches only ever add to a score: a kind seen too rarely to be weighed gets the mean weight of its class.
-    fitted = logistic(np.hstack([x, x.sum(axis=1, keepdims=True)]), y, penalty=0.1)
-    return Model(lexicon, np.maximum(fitted[:-2] + fitted[-2], 0.0), float(fitted[-1]))
+    features, base = signed_logistic(x @ kind_features(), y)
+    return Model(lexicon, kind_weights(features), base)
 
 
 def _score(model: Model, schema: pa.Schema):
