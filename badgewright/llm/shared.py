@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BATCH_BYTES = 4 << 20
 LAST_ID = 2**63 - 1
@@ -108,13 +109,25 @@ def hot_share(rows: DataFrame, key: str, weight: str | None = None, per_task: in
     return hot.select(key, "_n", F.ceil(F.col("_n") / even).cast("int").alias("_salts"))
 
 
-def salted_join(many: DataFrame, one: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+def _zero(kind: T.DataType):
+    """Some value of a type."""
+    if isinstance(kind, T.StructType):
+        return F.struct(*[_zero(f.dataType).alias(f.name) for f in kind])
+    return F.lit(0).cast(kind)
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, spread: str, how: str = "inner", steady: bool = False) -> DataFrame:
     """Join a table that may have most of its rows in one key with one of unique keys.
 
     ``spread`` tells the rows of a key apart. Both tables should be written ones, as
-    ``many`` is read twice.
+    ``many`` is read twice. ``steady`` keeps the plan the same whether there are hot keys or none: the list then always has one
+    key, which is dealt out once like any key that is not hot.
     """
-    hot = F.broadcast(hot_share(many, key).drop("_n"))
+    hot = hot_share(many, key).drop("_n")
+    if steady:
+        some = many.sparkSession.range(1).select(_zero(many.schema[key].dataType).alias(key), F.lit(1).alias("_salts"))
+        hot = hot.unionByName(some).groupBy(key).agg(F.max("_salts").alias("_salts"))
+    hot = F.broadcast(hot)
     salts = F.coalesce("_salts", F.lit(1))
     left = many.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int"))
     right = one.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))

@@ -263,7 +263,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, many
     one = F.min(F.struct("doc", "twin", "at", "size", "off")).alias("one")
     distinct = materialised(places.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), one), "distinct")
     anchors = distinct.groupBy("anchor").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("different"))
-    repeated = salted_join(distinct, anchors.where("all > 1"), "anchor", "context")
+    repeated = salted_join(distinct, anchors.where("all > 1"), "anchor", "context", steady=True)
     wanted = repeated.groupBy("one.doc", "one.twin").agg(
         F.collect_list(F.struct("anchor", "context", "n", "one.at", "one.size", "one.off", "different")).alias("wanted")
     )
@@ -286,13 +286,13 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, many
 
     # Parts' spans go back to the contexts that have them.
     part_id = F.struct("anchor", "longer", "part").alias("id")
-    hits = salted_join(members.select(part_id, "context", "start"), found.select(part_id, "spans"), "id", "context")
+    hits = salted_join(members.select(part_id, "context", "start"), found.select(part_id, "spans"), "id", "context", steady=True)
     shifted = F.transform("spans", lambda x: x + F.col("start"))
     of_context = hits.groupBy(F.col("id.anchor").alias("anchor"), "context").agg(F.flatten(F.collect_list(shifted)).alias("spans"))
     of_whole = found.where("longer = 0").select("anchor", F.col("part").alias("context"), "spans")
-    key = F.struct("anchor", "context").alias("key")
+    key = F.struct("anchor", "context").alias("place_key")
     verdicts = materialised(of_whole.unionByName(of_context).select(key, "spans"), "context-spans")
-    hit = salted_join(places.select(key, "doc", "twin", "at"), verdicts, "key", "doc")
+    hit = salted_join(places.select(key, "doc", "twin", "at"), verdicts, "place_key", "doc", steady=True)
     pairs = F.explode(F.sequence(F.lit(0), F.size("spans") - 2, F.lit(2))).alias("k")
     hit = hit.select("doc", "twin", "at", "spans", pairs)
     start, end = F.get("spans", F.col("k")), F.get("spans", F.col("k") + 1)
@@ -320,16 +320,16 @@ def _parts_of_busy(busy: DataFrame, window: int, gram: int, many: int) -> tuple[
             F.sum("n").alias("n"), F.min("words").alias("words"), F.first("low").alias("low"), F.first("high").alias("high")
         )
         different = materialised(different, "different-parts")
-        key = F.struct("anchor", "longer").alias("key")
+        key = F.struct("anchor", "longer").alias("longer_key")
         keys = different.groupBy(key).agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("different")).where("all > 1")
-        judged = salted_join(different.select("*", key), keys, "key", "part")
+        judged = salted_join(different.select("*", key), keys, "longer_key", "part", steady=True)
         ended = (F.col("different") <= many) | (F.col("low") == F.col("high"))
         judged = materialised(judged.select("anchor", "longer", "part", "n", "words", ended.alias("ended")), "judged-parts")
         discard(different)
         all_parts.append(judged.where("ended").drop("ended"))
         part_id = F.struct("anchor", "longer", "part").alias("id")
         # The rows of a part that many contexts share are a hot key.
-        known = salted_join(rows.select("*", part_id), judged.select(part_id, "ended"), "id", "context").drop("id")
+        known = salted_join(rows.select("*", part_id), judged.select(part_id, "ended"), "id", "context", steady=True).drop("id")
         known = materialised(known, "known-parts")
         all_members.append(known.where("ended").select("anchor", "context", "longer", "part", "start"))
         rest = known.where("NOT ended")
