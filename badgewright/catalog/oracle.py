@@ -436,6 +436,30 @@ ORACLE: dict[str, str] = {
     + f" FROM (SELECT label, {_total(q.ORDERS_FIRST, q.ORDERS_LAST)} AS badges, "
     + ", ".join(f"{_total(q.ORDERS_FIRST, q.ORDERS_LAST, d)} AS badges_{d}" for d in (7, 30, 90))
     + " FROM oe GROUP BY label)",
+    "bitmap_pairs": _with("badge_events")
+    + f"""SELECT gender, {AGE.format(a='age')} AS age, count(DISTINCT customer_id) AS unique_users
+      FROM badge_events GROUP BY ALL""",
+    "bitmap_filter": _with("badge_events")
+    + """SELECT count(DISTINCT customer_id) AS unique_users FROM badge_events
+      WHERE gender IN ('BUILDING', 'MACHINERY') AND label = 'purchase' AND user_selected_level IN (1, 2, 3)""",
+    "label_lists": _with("win")
+    + f""", names AS (SELECT [{_list([*q.LABELS, 'signup'])}] AS l), masks AS (SELECT unnest(range(1, 32)) AS mask),
+      lists AS (SELECT mask, list_filter(l, lambda x: (mask >> (list_position(l, x) - 1)) & 1 = 1) AS own FROM masks, names)
+      SELECT mask, array_to_string(own, ', ') AS labels,
+        (SELECT CAST(sum(cnt) AS BIGINT) FROM win WHERE list_contains(own, label)) AS total,
+        (SELECT count(DISTINCT customer_id) FROM win WHERE list_contains(own, label)) AS unique_users
+      FROM lists""",
+    "label_list_summaries": _with("oe")
+    + " UNION ALL ".join(
+        f"""SELECT '{name}' AS name, CAST(sum(cnt) AS BIGINT) AS total, count(DISTINCT customer_id) AS unique_users
+      FROM oe WHERE label IN ({_list(own)}) AND {_window(q.ORDERS_FIRST, q.ORDERS_LAST)}"""
+        for name, own in q.PRIORITY_LISTS.items()
+    ),
+    "csv_line_breaks": """SELECT c_custkey, c_name || chr(10) || 'says "' || c_mktsegment || '",' || chr(10) || chr(10) || c_mktsegment
+      AS note, c_acctbal FROM customer""",
+    "csv_inferred": """SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey,
+      CAST(CASE WHEN o_custkey % 7 <> 0 THEN o_custkey END AS INTEGER) AS o_custkey, o_totalprice,
+      CAST(o_orderdate AS DATE) AS day, o_orderpriority = '1-URGENT' AS urgent, o_orderpriority FROM orders""",
     "page_deep": f"""SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey
       LIMIT {q.DEEP_PAGE[1]} OFFSET {(q.DEEP_PAGE[0] - 1) * q.DEEP_PAGE[1]}""",
 }

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from badgewright.catalog.adapters import Tables
 from badgewright.functions import dayparts, labels, numbers, regions
 from badgewright.operators import aggregates, display, filters, periods, prefix
-from badgewright.plans import cubes, daily, kpis, reports
-from badgewright.sources import files, incremental
+from badgewright.plans import bitmaps, cubes, daily, kpis, reports
+from badgewright.plans import label_lists as label_lists_of
+from badgewright.sources import csv_split, files, incremental
 from badgewright.sources.lookups import postal_district
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +30,9 @@ DIMENSIONS = ["age", "month", "quarter", "gender", "province", "user_selected_le
 EVERY_DAY = ("1900-01-01", "2999-12-31")
 SETTLED_TO = "2024-01-28"
 DEEP_PAGE = (30, 40)
+BITMAP_DIMENSIONS = ["gender", "age", "province", "user_selected_level", "label"]
+BITMAP_WANTED = {"gender": ["BUILDING", "MACHINERY"], "label": "purchase", "age": "All Ages", "user_selected_level": ["1", "2", "3"]}
+PRIORITY_LISTS = {"high": ["1-URGENT", "2-HIGH"], "low": ["5-LOW", "4-NOT SPECIFIED"], "ends": ["1-URGENT", "5-LOW"], "one": ["3-MEDIUM"]}
 
 QUERIES: dict[str, Query] = {}
 
@@ -409,3 +413,49 @@ def page_deep(t: Tables) -> DataFrame:
     orders = t.raw("orders").select("o_orderkey", "o_custkey", "o_totalprice")
     pages = prefix.write_pages(orders, [F.desc("o_totalprice"), "o_orderkey"], files.scratch_path(t.spark, "pages"))
     return pages.page(*DEEP_PAGE)
+
+
+@query
+def bitmap_pairs(t: Tables) -> DataFrame:
+    index = files.materialised(bitmaps.dimension_bitmaps(t.badge_facts(), BITMAP_DIMENSIONS), "bitmaps")
+    return bitmaps.pair_customers(index, "gender", "age")
+
+
+@query
+def bitmap_filter(t: Tables) -> DataFrame:
+    index = files.materialised(bitmaps.dimension_bitmaps(t.badge_facts(), BITMAP_DIMENSIONS), "bitmaps")
+    return bitmaps.combination_customers(index, BITMAP_WANTED)
+
+
+@query
+def label_lists(t: Tables) -> DataFrame:
+    return label_lists_of.every_list(t.badge_facts(), [*LABELS, "signup"], FIRST, LAST)
+
+
+@query
+def label_list_summaries(t: Tables) -> DataFrame:
+    return label_lists_of.list_summaries(t.order_events(), PRIORITY_LISTS, ORDERS_FIRST, ORDERS_LAST)
+
+
+@query
+def csv_line_breaks(t: Tables) -> DataFrame:
+    text = F.concat_ws("\n", "c_name", F.concat(F.lit('says "'), F.col("c_mktsegment"), F.lit('",')), F.lit(""), "c_mktsegment")
+    customers = t.raw("customer").select("c_custkey", text.alias("note"), "c_acctbal")
+    path = files.scratch_path(t.spark, "notes-csv")
+    files.write_csv(customers, path, multi_line=True)
+    return csv_split.read_csv_lines(t.spark, path, customers.schema)
+
+
+@query
+def csv_inferred(t: Tables) -> DataFrame:
+    orders = t.raw("orders").select(
+        "o_orderkey",
+        F.when(F.col("o_custkey") % 7 != 0, F.col("o_custkey")).alias("o_custkey"),
+        "o_totalprice",
+        labels.date_of("o_orderdate").alias("day"),
+        (F.col("o_orderpriority") == "1-URGENT").alias("urgent"),
+        "o_orderpriority",
+    )
+    path = files.scratch_path(t.spark, "orders-csv")
+    files.write_csv(orders, path)
+    return files.read_csv(t.spark, path, csv_split.infer_schema(t.spark, path))
