@@ -10,14 +10,15 @@ from .test_contracts import check_packing
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 STAGES = dict(corpus_pipeline.STAGES)
+LARGER = "/root/testdata/sf0.01"
 LONG = (40, "\n".join(f"line {k} of a long text" for k in range(250_000)))
 REPEATED = [(41, "a row that stands here three times\nand again")] * 3
 ROWS = [*cases.ROWS, LONG, *REPEATED, (None, "a text without an id"), (None, None)]
 
 
-def run(spark, name, rows):
+def run(spark, name, rows, root=ROOT):
     docs = cases.table(spark, rows)
-    out = STAGES[name](spark, docs, ROOT)
+    out = STAGES[name](spark, docs, root)
     assert name == "packing" or out.dtypes == docs.dtypes
     return out.collect()
 
@@ -31,11 +32,12 @@ def test_an_empty_table_stays_empty(spark, name):
     assert run(spark, name, []) == []
 
 
-def test_toxicity_keeps_clean_rows(spark, documents):
+def test_toxicity_keeps_clean_rows(spark, duck):
     """It learns from the labels of the documents that it is given."""
+    documents = duck.execute(f"SELECT doc_id, text FROM '{LARGER}/documents.parquet'").fetchall()
     insult = "you stupid idiot, you are a worthless moron and a loser. " * 6
     clean = [(None if d is None else d + 100_000, t) for d, t in ROWS]
-    rows = run(spark, "toxicity", [*documents, *clean, (200_000, insult), (None, insult)])
+    rows = run(spark, "toxicity", [*documents, *clean, (200_000, insult), (None, insult)], LARGER)
     found = [r for r in rows if r["doc_id"] is None or r["doc_id"] >= 100_000]
     assert ids(found) == ids([{"doc_id": d} for d, _ in clean])
 
