@@ -11,7 +11,8 @@
    length gives. No task gets all pieces of a length.
 
 Defined results: a null or empty text is its end id alone; a text of any length is cut, never
-dropped; equal rows are packed as often as they occur; no documents give no rows.
+dropped; equal rows are packed as often as they occur; no documents give no rows. A sequence is padded to the full length, but one
+whose tokens are a power of two in number is not padded at all.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from badgewright.llm.shared import id_and_text, record_batch, slices
@@ -179,10 +180,20 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, size: int = SEQ
     return pack_pieces(materialised(pieces(docs, tokenizer, end_id, size=size, **options), "pieces"), size)
 
 
-def sequences(placed: DataFrame) -> DataFrame:
-    """The packed sequences: sequence_id, n_tokens, ids (4 bytes each), from pieces that carry their ids."""
+def padded_length(n_tokens: str = "n_tokens", size: int = SEQUENCE) -> Column:
+    """The length a sequence is padded to: ``size``, but one whose tokens are a power of two in number stays as it is."""
+    n = F.col(n_tokens)
+    return F.when(F.bit_count(n) == 1, n).otherwise(F.lit(size).cast("bigint"))
+
+
+def sequences(placed: DataFrame, size: int = SEQUENCE, pad_id: int = 0) -> DataFrame:
+    """The packed sequences: sequence_id, n_tokens, ids (4 bytes each), padded_length, padded_ids, from pieces that carry their ids."""
     together = F.array_sort(F.collect_list(F.struct("offset", "ids")))
-    return placed.groupBy("sequence_id").agg(
+    made = placed.groupBy("sequence_id").agg(
         F.sum("length").alias("n_tokens"),
         F.aggregate(together, F.lit(b""), lambda made, piece: F.concat(made, piece["ids"])).alias("ids"),
     )
+    made = made.withColumn("padded_length", padded_length(size=size))
+    pad = F.lit(pad_id.to_bytes(4, "little").hex())
+    missing = (F.col("padded_length") - F.col("n_tokens")).cast("int")
+    return made.withColumn("padded_ids", F.concat("ids", F.unhex(F.repeat(pad, missing))))

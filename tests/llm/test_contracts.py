@@ -124,6 +124,11 @@ def test_packing_edge(spark):
     check_packing(placed.collect(), EDGE)
     for row in packing.sequences(placed).collect():
         assert len(row["ids"]) == 4 * row["n_tokens"] <= 4096
+        n = row["n_tokens"]
+        assert row["padded_length"] == (n if n in {1 << k for k in range(11)} else 1024)
+        assert row["padded_ids"] == row["ids"] + bytes(4 * (row["padded_length"] - n))
+    alone = packing.pack_documents(cases.table(spark, [(1, " a" * 63)]), BYTE_BPE, 0, with_ids=True)
+    assert [(r["n_tokens"], r["padded_length"]) for r in packing.sequences(alone).collect()] == [(64, 64)]
 
 
 @pytest.mark.parametrize("many", [substrings.MANY_CONTEXTS, 0])
