@@ -131,3 +131,23 @@ def test_empty(spark, store):
     store.refresh(events(spark, DAYS), build)
     assert store.refresh(events(spark, {}), build).dropped == (day(1), day(2), day(3), day(4))
     assert store.read().count() == 0 and store.read().columns == ["event_date", "kind", "n", "users"]
+
+
+def test_sketches_are_loaded_by_day(spark):
+    """Daily sketches kept by day: a load makes those of the changed days only, and windows follow."""
+    from badgewright.plans import daily, kpis
+
+    def facts(users):
+        rows = [(u, "x" if u % 3 else "y", day(d), 1) for d, own in users.items() for u in own]
+        return spark.createDataFrame(rows, "customer_id bigint, label string, date date, count bigint")
+
+    first = {d: range(d, d + 40) for d in range(1, 15)}
+    schema = daily.daily_sketches(facts({1: [1]})).schema
+    kept = DayStore(spark, scratch_path(spark, "sketch-store"), schema, day="date")
+    kept.refresh(facts(first), daily.daily_sketches)
+    later = {**first, 9: range(500, 530), 15: range(3)}
+    assert kept.refresh(facts(later), daily.daily_sketches).built == (day(9), day(15))
+    window = ("2024-01-08", "2024-01-14")
+    assert tuples(daily.sketched_tiles(kept.read(), *window)) == tuples(kpis.kpi_tiles(facts(later), *window))
+    expected = facts(later).where("date BETWEEN '2024-01-08' AND '2024-01-14'").groupBy("label").agg(F.sum("count"), F.count_distinct("customer_id"))
+    assert sorted(tuples(daily.sketched_measures(kept.read(), *window))) == sorted(tuples(expected))
