@@ -376,7 +376,8 @@ def coded(table: DataFrame, bins: Bins) -> DataFrame:
 def learn_from(table: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> tuple[Model, DataFrame | None]:
     """The model of measured documents and their labels, and the documents' codes."""
     good = labels.where(F.col("quality") == 1)
-    trusted = labelled_sample(table, good, "quality", rows, "x").orderBy("x").collect()
+    # At most ``rows``, in an order of their own whatever the order they arrive in.
+    trusted = sorted(labelled_sample(table, good, "quality", rows, "x").collect(), key=lambda r: r["x"])
     unlabelled = table.where(~held_out("doc_id"))
     marks = [k / BINS for k in range(1, BINS)]
     quantiles = unlabelled.agg(
