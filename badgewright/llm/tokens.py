@@ -1,6 +1,7 @@
 """Token ids of whole texts, by a public tokenizer file.
 
-A text is cut where the tokenizer cuts it in any case. Arrow does the cutting and finds the different
+A text is cut where the tokenizer cuts it in any case: at spaces, and by the byte-level pattern before line breaks
+and before punctuation after a letter too, so that a word is the same piece whatever follows it. Arrow finds the different
 pieces of a batch; each is encoded once, and numpy puts the ids together. Pieces
 seen before are kept per worker process in a table of bounded size, by 96-bit hashes.
 """
@@ -10,7 +11,6 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,13 +22,19 @@ from badgewright.llm.words import mixed, run_hashes, text_bytes
 KEPT_PIECES = 800_000
 TEXT_BYTES = 2 << 20
 NEW_PIECES = 20_000
-_CUT = "\x1f"
 
 # Libraries differ on whether these are white space: texts that have them are not cut.
 _DOUBTFUL = "\x1c\x1d\x1e\x1f"
 # White space before a space: there a cut at single spaces would cut a run in two.
 _RUN = re.compile(r"\s ")
 
+# Of ASCII. Beyond it, what has the lead byte C3 (but for the signs of times and division) counts as a letter: these
+# letters of Latin-1 lower-case to one letter each and have no other normal form.
+_LETTER, _PUNCTUATION, _INK = (
+    np.array([b < 128 and of(chr(b)) for b in range(256)])
+    for of in (str.isalpha, lambda c: "!" <= c <= "~" and not c.isalnum(), lambda c: not c.isspace())
+)
+_LATIN, _NO_LETTERS = 0xC3, (0x97, 0xB7)
 
 _ENCODERS: dict[tuple, Encoder] = {}
 _SECOND = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -71,13 +77,13 @@ class Segment:
         return Segment(h1[order], h2[order], start[order], size[order], ids)
 
 
-def is_latin(word: str) -> bool:
-    """Of characters that lower-case to one letter each and have no other normal form."""
-    try:
-        word.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
+def letters(data: np.ndarray) -> np.ndarray:
+    """Which bytes are those of letters of ASCII or Latin-1; some rare ones are left out."""
+    found = _LETTER[data]
+    lead = np.flatnonzero(data[:-1] == _LATIN)
+    lead = lead[~np.isin(data[lead + 1], _NO_LETTERS)]
+    found[lead] = found[lead + 1] = True
+    return found
 
 
 @dataclass
@@ -100,67 +106,81 @@ class Encoder:
 
     def __init__(self, path: str, white_space: str, kept: int = KEPT_PIECES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.keep, self.kept = {"drop": False, "keep": True}[white_space], kept
         tokens = sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])
-        marks = (lambda t: t.startswith("Ġ")) if self.keep else (lambda t: t.endswith("</w>"))
+        marks = (lambda t: t.startswith("Ġ") or t == "Ċ") if self.keep else (lambda t: t.endswith("</w>"))
         self.edge = np.zeros(tokens[-1][1] + 1, dtype=bool)
         self.edge[[k for t, k in tokens if marks(t)]] = True
         self.segments: list[Segment] = []
+        split = self.tokenizer.pre_tokenizer
+        known = isinstance(split, pre_tokenizers.ByteLevel) and split.use_regex and not split.add_prefix_space
+        # Whether the pattern is the byte-level one, of which more is known than what it does with spaces.
+        self.fine = self.keep and known and self.tokenizer.normalizer is None
 
     def _whole(self, text: str) -> bool:
         """Whether the text must not be cut."""
         return any(s in text for s in (*_DOUBTFUL, *self.special)) or (self.keep and _RUN.search(text) is not None)
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids, one after another, of the texts."""
+        found = [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.frombuffer(b"".join(x.tobytes() for x in found), dtype="<u4")
+        return np.fromiter(map(len, found), np.int32, len(found)), ids
 
-    def _encode_words(self, words: list[str]) -> Iterator[bytes]:
-        """Ids of words of letters (after a space each, if white space is kept), many to a text.
+    def _encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of words of letters (after a space or line break each, if white space is kept), many to a text.
 
         Each is a word of its own to the tokenizer, and its first or last id tells where it begins or ends.
         """
-        for first in range(0, len(words), 2000):
-            some = words[first : first + 2000]
-            ids = np.frombuffer(self._plain([("" if self.keep else " ").join(some)])[0], "<u4")
+        firsts = np.append(np.arange(0, len(words), 2000, dtype=np.int32), np.int32(len(words)))
+        runs = pa.ListArray.from_arrays(pa.array(firsts), words.cast(pa.string()))
+        texts = pc.binary_join(runs, "" if self.keep else " ").to_pylist()
+        sizes, parts = [np.zeros(0, np.int32)], [np.zeros(0, np.uint32)]
+        for text, first, last in zip(texts, firsts.tolist(), firsts[1:].tolist(), strict=False):
+            ids = self._plain([text])[1]
             edges = np.flatnonzero(self.edge[ids]) + (not self.keep)
-            cuts = [*edges.tolist(), len(ids)] if self.keep else [0, *edges.tolist()]
-            if len(cuts) != len(some) + 1 or cuts[0] or cuts[-1] != len(ids):
-                yield from self._plain(some)
-                continue
-            data = ids.tobytes()
-            yield from (data[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False))
-
-    def _encode_new(self, new: list[str]) -> list[bytes]:
-        """Ids of different pieces, each on its own."""
-        stops = {s: b for s, b in zip(".,", self._plain([".", ","]), strict=True)}
-        words: list[str] = []
-        ends: list[bytes] = []
-        of: list[int] = []
-        rest: list[int] = []
-        start = int(self.keep)
-        for number, piece in enumerate(new):
-            # A full stop or comma at the end, after a letter, is a word of its own.
-            stop = stops.get(piece[-1:], b"")
-            word = piece[:-1] if stop else piece
-            if word[start:].isalpha() and is_latin(word) and (not start or word[0] == " "):
-                words.append(word)
-                ends.append(stop)
-                of.append(number)
-            else:
-                rest.append(number)
-        out = [b""] * len(new)
-        for number, ids, stop in zip(of, self._encode_words(words), ends, strict=True):
-            out[number] = ids + stop
-        for first in range(0, len(rest), 10_000):
-            some = rest[first : first + 10_000]
-            for number, ids in zip(some, self._plain([new[k] for k in some]), strict=True):
-                out[number] = ids
-        return out
+            cuts = np.append(edges, len(ids)) if self.keep else np.append(0, edges)
+            size = np.diff(cuts).astype(np.int32)
+            if len(size) != last - first or cuts[0] or cuts[-1] != len(ids):
+                size, ids = self._plain(words.slice(first, last - first).to_pylist())
+            sizes.append(size)
+            parts.append(ids)
+        return np.concatenate(sizes), np.concatenate(parts)
+
+    def _encode_new(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids, one after another, of different pieces, each on its own."""
+        data, rows = text_bytes(new)
+        begin, end = rows[:-1], rows[1:]
+        body, held = np.minimum(begin + int(self.keep), end), end > begin
+        first, last = np.zeros(len(new), np.uint8), np.zeros(len(new), np.uint8)
+        first[held], last[held] = data[begin[held]], data[end[held] - 1]
+        # A full stop or comma at the end, after a letter, is a word of its own.
+        stopped = (last == ord(".")) | (last == ord(","))
+        before = np.concatenate([[0], np.cumsum(letters(data))])
+        ink = np.maximum(end - stopped, body)
+        whole = (ink > body) & (before[ink] - before[body] == ink - body)
+        if self.keep:
+            whole &= (first == ord(" ")) | (self.fine & (first == ord("\n")))
+        word, rest = np.flatnonzero(whole), np.flatnonzero(~whole)
+        word_size, word_ids = self._encode_words(pc.ascii_rtrim(new.take(pa.array(word)), ".,"))
+        rest_size, rest_ids = self._plain(new.take(pa.array(rest)).to_pylist())
+        size = np.zeros(len(new), np.int32)
+        size[word], size[rest] = word_size, rest_size
+        stops = [(np.flatnonzero(whole & (last == ord(c))), self._plain([c])[1]) for c in ".,"]
+        word_end = size.copy()
+        for at, ids in stops:
+            size[at] += len(ids)
+        start = np.cumsum(size, dtype=np.int64) - size
+        out = np.empty(int(size.sum()), dtype=np.uint32)
+        out[spans(start[word], word_size)] = word_ids
+        out[spans(start[rest], rest_size)] = rest_ids
+        for at, ids in stops:
+            out[spans(start[at] + word_end[at], np.full(len(at), len(ids)))] = np.tile(ids, len(at))
+        return size, out
 
     def _table(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Sizes and ids, one after another, of different pieces."""
@@ -175,10 +195,10 @@ class Encoder:
         new = np.flatnonzero(segment < 0)
         sizes, parts = [np.zeros(0, np.int32)], [np.zeros(0, np.uint32)]
         for first in range(0, len(new), NEW_PIECES):
-            values = self._encode_new(pieces.take(pa.array(new[first : first + NEW_PIECES])).to_pylist())
-            sizes.append(np.fromiter(map(len, values), np.int32, len(values)) // 4)
-            parts.append(np.frombuffer(b"".join(values), dtype="<u4"))
-        fresh = Segment.of(h1[new], h2[new], np.concatenate(sizes).astype(np.int32), np.concatenate(parts))
+            size, ids = self._encode_new(pieces.take(pa.array(new[first : first + NEW_PIECES])))
+            sizes.append(size)
+            parts.append(ids)
+        fresh = Segment.of(h1[new], h2[new], np.concatenate(sizes), np.concatenate(parts))
         place[new], segment[new] = fresh.places(h1[new], h2[new]), len(self.segments)
         every = [*self.segments, fresh]
         size = np.zeros(len(h1), dtype=np.int32)
@@ -201,10 +221,26 @@ class Encoder:
             last = self.segments.pop()
             self.segments[-1] = self.segments[-1].and_also(last)
 
-    def _cut(self, texts: pa.Array) -> pa.ListArray:
+    def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of all texts, and the number of each text's first one (one more than texts)."""
         if not self.keep:
-            return pc.ascii_split_whitespace(pc.ascii_lower(texts))
-        return pc.split_pattern(pc.replace_substring(texts, " ", _CUT + " "), _CUT)
+            lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+            counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            return lists.flatten(), np.concatenate([[0], np.cumsum(counts)])
+        data, rows = text_bytes(texts)
+        cut = data == ord(" ")
+        if self.fine:
+            # The pattern has no word, number or run of signs with a line break in it, and no sign after a letter in one. A
+            # line break after white space may be one with it.
+            letter, before = letters(data)[:-1], data[:-1]
+            cut[1:] |= (data[1:] == ord("\n")) & (_INK[before] | letter)
+            cut[1:] |= _PUNCTUATION[data[1:]] & letter
+        cut[rows[:-1][rows[:-1] < len(data)]] = True
+        starts = np.flatnonzero(cut)
+        kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+        offsets = np.append(starts, len(data)).astype(kind)
+        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]
+        return pa.Array.from_buffers(texts.type, len(starts), buffers), np.searchsorted(starts, rows)
 
     def encode(self, texts: pa.Array) -> Ids:
         """Ids of every text; nulls are empty. Bytes that are no text are replaced as Python replaces them."""
@@ -212,19 +248,19 @@ class Encoder:
         whole = {k: t for k, t in enumerate(texts.to_pylist()) if self._whole(t)}
         if whole:
             rest = pa.array(["" if k in whole else t for k, t in enumerate(texts.to_pylist())], texts.type)
-        lists = self._cut(rest if whole else texts)
-        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        encoded = lists.flatten().dictionary_encode()
+        pieces, firsts = self._cut(rest if whole else texts)
+        encoded = pieces.dictionary_encode()
         number = encoded.indices.to_numpy(zero_copy_only=False)
         size, table = self._table(encoded.dictionary)
         lengths = size[number]
         ids = table[spans((np.cumsum(size, dtype=np.int64) - size)[number], lengths)]
-        first = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])[np.concatenate([[0], np.cumsum(counts)])]
+        first = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])[firsts]
         if not whole:
             return Ids(ids, first)
         parts = [ids[first[k] : first[k + 1]] for k in range(len(texts))]
-        for k, found in zip(whole, self._plain(list(whole.values())), strict=True):
-            parts[k] = np.frombuffer(found, dtype="<u4")
+        sizes, found = self._plain(list(whole.values()))
+        for k, mine in zip(whole, np.split(found, np.cumsum(sizes)[:-1]), strict=True):
+            parts[k] = mine
         return Ids(np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]))
 
 

@@ -248,6 +248,60 @@ def test_tokens_equal_the_library():
             ]
 
 
+def equal_to_the_library(path, space, texts):
+    from tokenizers import Tokenizer
+
+    from badgewright.llm.tokens import Encoder
+
+    ours, whole = Encoder(path, space, kept=3000), Tokenizer.from_file(path)
+    for kind in (pa.string(), pa.large_string()):
+        found = ours.encode(pa.array(texts, kind))
+        expected = whole.encode_batch(texts, add_special_tokens=False)
+        assert [found.of(k).tolist() for k in range(len(texts))] == [e.ids for e in expected]
+    return ours
+
+
+# Words as they stand in lines, with what may follow them.
+WORDS = ["river", "Öl", "año", "don't", "x's", "'tis", "ªb", "5th", "a1", "日本", "σς", "×", "we'", "\u00b5m"]
+AFTER = [*" .,;:!?$%&*()[]-_'\"\n\t\x00", ".\n", "...\n", "\n\n", "\n\n\n", "\t\n", "\xa0\n", "\r\n", "\n.", "'s ", "'s\n", "'ll.", "×.", "é\n"]
+
+
+def test_tokens_of_lines_and_punctuation_equal_the_library():
+    import public_tokenizers
+
+    rnd = random.Random(11)
+    texts = ["".join(rnd.choice(WORDS) + rnd.choice(AFTER) for _ in range(rnd.randint(0, 25))) for _ in range(3000)]
+    texts += [rnd.choice(AFTER) + w + a for w in WORDS for a in AFTER]
+    for name, space in (("word_bpe_49k.json", "drop"), ("byte_bpe_50k.json", "keep")):
+        equal_to_the_library(public_tokenizers.path(name), space, texts)
+
+
+def test_a_word_is_one_piece_whatever_follows_it():
+    import public_tokenizers
+
+    words = [f"{a}{b}" for a in ("river", "Öl", "garten", "market") for b in ("", "s", "ed", "é", "ing")]
+    ends = ["", *".,;:!?$%&*", "$$$", "!!", ".,", "?!", ".***", ",%%%"]
+    # Each word before each end, at an end of a line and inside one.
+    lines = ["a " + " ".join(w + e for w in words) for e in ends] + [f"a {w}{e}" for e in ends for w in words]
+    ours = equal_to_the_library(public_tokenizers.path("byte_bpe_50k.json"), "keep", ["\n".join(lines)])
+    assert sum(len(x.h1) for x in ours.segments) <= len(words) + len(ends) + 2
+
+
+def test_texts_are_cut_at_spaces_alone_by_other_patterns(tmp_path):
+    """A pattern that takes full stops and line breaks together with letters."""
+    import public_tokenizers
+    from tokenizers import Regex, Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
+
+    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pattern = Split(Regex(r" ?[\p{L}.]+\n*| ?[^\s\p{L}]+\n*|\s+(?!\S)|\s+"), "isolated")
+    other.pre_tokenizer = Sequence([pattern, ByteLevel(add_prefix_space=False, use_regex=False)])
+    other.save(str(tmp_path / "other.json"))
+    rnd = random.Random(12)
+    texts = ["".join(rnd.choice(["the", "in", "on", "s"]) + rnd.choice([". ", ".\n", "\n", "..", "!\n", " "]) for _ in range(20)) for _ in range(200)]
+    equal_to_the_library(str(tmp_path / "other.json"), "keep", texts)
+
+
 def test_no_module_outside_imports_this_one():
     from pathlib import Path
 
